@@ -113,21 +113,35 @@ def span_hashes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all values in order, and each value's offsets in them."""
+    words, _, at = shaped_words(buf, off, 0)
+    return words, at
+
+
+def shaped_words(buf: np.ndarray, off: np.ndarray, shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, with each word's shape between them if `shapes` is not 0: a number below it that hashes the first
+    three bytes and the last two of the lower-cased word."""
     counts = np.zeros(len(off) - 1, dtype=np.int64)
-    out = []
+    out, shape = [], []
     for i, j, a, b in blocks(buf, off):
         if a == b:
             continue
         piece = buf[a:b]
         starts, ends = word_spans(piece, off[i:j] - a if j > i + 1 else np.zeros(1, np.int64))
-        out.append(span_hashes(LOWER[piece], starts, ends))
+        small = LOWER[piece]
+        out.append(span_hashes(small, starts, ends))
+        if shapes:
+            key = np.zeros(len(starts), np.uint64)
+            for k in (starts, starts + 1, starts + 2, ends - 1, ends - 2):
+                inside = (k >= starts) & (k < ends)
+                key = key * np.uint64(257) + np.where(inside, small[np.where(inside, k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            shape.append((mix64(key) % np.uint64(shapes)).astype(np.int32))
         if j == i + 1:
             counts[i] += len(starts)
         else:
             edges = np.searchsorted(starts, off[i : j + 1] - a)
             counts[i:j] += np.diff(edges)
     words = np.concatenate(out) if out else np.zeros(0, np.uint64)
-    return words, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return words, np.concatenate(shape) if shape else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
 def hash_word(word: str) -> int:
