@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module under tracemill.llm whose query(spark, sf_dir) gives the result; its SQL, if any, is ORACLE_SQL there.
 MODULES = {
+    "op4_forest_secrets": "secrets_query",
     "op1_warc_index": "warc_query",
     "op8_ipf_mixing": "mixing_query",
     "op6_tput_topk": "topk_search_query",
