@@ -259,12 +259,13 @@ def score(docs: DataFrame, crf: Crf, columns: list[str | Column], text_col: str
     repeated rows get equal scores; no rows give no rows; further columns of any name may be carried along.
     """
     out = docs.select(*columns, docs[text_col].alias("_quality_text"))
-    kept = out.drop("_quality_text").schema
+    schema = out.drop("_quality_text").schema.add("score", "double")
+    names = schema.names
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             s = np.concatenate([np.zeros(0), *[crf.score(*line_features(*textkit.flat_utf8(texts.slice(k, 200)))) for k in range(0, len(texts), 200)]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*kept.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=names)
 
-    return out.mapInArrow(run, kept.add("score", "double"))
+    return out.mapInArrow(run, schema)
