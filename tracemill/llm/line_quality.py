@@ -252,14 +252,14 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     return train(x, np.concatenate(chars), at, np.array([label[i] for i in ids]))
 
 
-def score(docs: DataFrame, crf: Crf, columns: list[str | Column], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, crf: Crf, columns: list[str | Column], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The given columns of every row with its score in [0, 1].
 
     Null and empty texts count as one blank line and are scored like any other; texts of any length are read whole;
     repeated rows get equal scores; no rows give no rows; further columns of any name may be carried along.
     """
     out = docs.select(*columns, docs[text_col].alias("_quality_text"))
-    schema = out.drop("_quality_text").schema.add("score", "double")
+    schema = out.drop("_quality_text").schema.add(score_col, "double")
     names = schema.names
 
     def run(batches):

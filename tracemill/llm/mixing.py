@@ -67,22 +67,22 @@ def fit(cells: DataFrame, targets: Mapping[str, DataFrame], share: float, space:
     return fitted
 
 
-def sample(docs: DataFrame, space: Workspace, share: float = 0.5, power: float = 0.7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """All rows and columns of docs with topic, tokens, rate and sampled.
+def sample(docs: DataFrame, space: Workspace, share: float = 0.5, power: float = 0.7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", prefix: str = "") -> DataFrame:
+    """All rows and columns of docs with topic, tokens, rate and sampled, each behind the prefix.
 
     Targets are the natural shares to `power`.  sampled holds where a number drawn from the id lies below the rate, so it
     does not depend on order or partitions, and repeated rows are sampled alike.  Null sources and languages are margin
     values of their own; null and empty texts hold no tokens, and cells without tokens keep the rate `share` unless their
     margins ask for less.  No rows give no rows.  Columns of docs with the names above are replaced.
     """
-    if clash := [c for c in ("topic", "tokens", "rate", "sampled") if c in docs.columns]:
-        docs = docs.drop(*clash)
-    tagged = docs.withColumns({"_source": margin(F.col(source_col)), "_lang": margin(F.col(lang_col)), "topic": topic(F.col(text_col)), "tokens": tokens(F.col(text_col))})
-    cells = tagged.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
+    docs = docs.drop(*[f"{prefix}{c}" for c in ("topic", "tokens", "rate", "sampled")])
+    tagged = docs.withColumns({"_source": margin(F.col(source_col)), "_lang": margin(F.col(lang_col)), "_topic": topic(F.col(text_col)), "_tokens": tokens(F.col(text_col))})
+    cells = tagged.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = space.save(cells, "cells")
     rates = fit(cells, {m: tempered(cells, m, power) for m in MARGINS}, share, space)
-    rates = rates.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "rate")
+    rates = rates.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("rate").alias("_rate"))
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
-    found = tagged.join(rates, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("topic") == F.col("_t")))
-    return found.select(*docs.columns, "topic", "tokens", "rate", (uniform(F.col(id_col)) < F.col("rate")).alias("sampled"))
+    found = tagged.join(rates, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
+    own = {"topic": F.col("_topic"), "tokens": F.col("_tokens"), "rate": F.col("_rate"), "sampled": uniform(F.col(id_col)) < F.col("_rate")}
+    return found.select(*docs.columns, *[value.alias(f"{prefix}{name}") for name, value in own.items()])
