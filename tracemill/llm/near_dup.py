@@ -100,9 +100,9 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     classes = space.save(
         signed.where("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("sub", "id").alias("sub")), "classes"
     )
-    key = F.explode(
+    key = F.posexplode(
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda j: F.xxhash64(F.get("sub", i), F.get("sub", j + SIDE), i, j))))
-    ).alias("key")
+    ).alias("table", "key")
     keyed = classes.select(key, "rep")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("shared"))
     buckets = space.save(keyed.join(shared, keyed["key"] == shared["shared"], "left_semi"), "buckets")
@@ -115,8 +115,10 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     size = sets.select("id", F.size("shingles").cast("long").alias("n"))
     facts = size.join(alone, size["id"] == alone["lone"], "left").select(F.col("id").alias("fact"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     # a partner holds `percent` of the union, which is no smaller than the set
-    facts = space.save(facts.where(100 * F.col("most") >= percent * F.col("n")), "facts")
-    members = buckets.join(facts, buckets["rep"] == facts["fact"]).select("key", "rep", "n", "most")
+    facts = facts.where(100 * F.col("most") >= percent * F.col("n"))
+    subs = classes.select(F.col("rep").alias("of"), "sub")
+    facts = space.save(facts.join(subs, facts["fact"] == subs["of"]).drop("of"), "facts")
+    members = buckets.join(facts, buckets["rep"] == facts["fact"]).select("key", "table", "rep", "n", "most", "sub")
     members = space.save(members, "members")
     space.remove("buckets")
 
@@ -142,13 +144,20 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     links = confirmed(star.select(F.col("m.rep").alias("a"), F.col("p.rep").alias("b")), "star")
     label = components(links, space, "first")
 
-    # members outside their pivot's component, with members of other components
-    tagged = members.join(label, members["rep"] == label["node"], "left").select("key", "rep", "n", "most", F.coalesce("label", "rep").alias("label"))
+    # members outside their pivot's component, with members of other components; two that share several tables meet in
+    # the first table alone
+    tagged = members.join(label, members["rep"] == label["node"], "left").select("key", "table", "rep", "n", "most", "sub", F.coalesce("label", "rep").alias("label"))
     tagged = space.save(tagged, "tagged")
     centre = pivot.join(label, pivot["rep"] == label["node"], "left").select("at", F.coalesce("label", "rep").alias("centre"))
-    outside = tagged.join(centre, (tagged["key"] == centre["at"]) & (tagged["label"] != centre["centre"])).select("key", "rep", "n", "most", "label")
+    outside = tagged.join(centre, (tagged["key"] == centre["at"]) & (tagged["label"] != centre["centre"])).select("key", "table", "rep", "n", "most", "sub", "label", "centre")
     o, t = outside.alias("o"), tagged.alias("t")
-    rest = o.join(t, (F.col("o.key") == F.col("t.key")) & (F.col("o.label") != F.col("t.label")) & reachable("o", "t"))
+    once = (F.col("t.label") == F.col("o.centre")) | (F.col("o.rep") < F.col("t.rep"))
+    before = F.exists(
+        F.sequence(F.lit(0), F.lit(SIDE - 1)),
+        lambda k: ((k < F.floor(F.col("o.table") / SIDE)) & (F.get("o.sub", k) == F.get("t.sub", k)))
+        | ((k < F.col("o.table") % SIDE) & (F.get("o.sub", k + SIDE) == F.get("t.sub", k + SIDE))),
+    )
+    rest = o.join(t, (F.col("o.key") == F.col("t.key")) & (F.col("o.label") != F.col("t.label")) & once & reachable("o", "t") & ~before)
     more = confirmed(rest.select(F.col("o.rep").alias("a"), F.col("t.rep").alias("b")), "rest")
     label = components(links.union(more), space, "final")
 
