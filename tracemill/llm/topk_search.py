@@ -1,14 +1,14 @@
 """Exact top-k by integer inner product with a three-phase uniform threshold.
 
 The dimensions are cut into LISTS slices; a slice's inner product is an entry's local score in that slice's list, and an
-entry's score is the sum over the lists.  Phase one gathers the best local entries of every list and each list's lowest
-score; the k-th best sum of gathered entries, with lowest scores in place of lists not seen, is a safe cutoff.  Phase
-two broadcasts it: an entry of the top k reaches cutoff / LISTS (over the lowest score) in some list, so each partition
-sends just those.  Phase three drops entries whose best possible sum is below the k-th best seen sum, and resolves the
-rest exactly.
+entry's score is the sum over the lists.  Phase one gathers the best local entries of every list with their sums, and each
+list's lowest score; the k-th best sum is a safe cutoff.  Phase two broadcasts it: an entry of the top k reaches
+(cutoff - sum of lowest scores) / LISTS above the lowest score in some list, so only entries that do are collected.  Phase
+three resolves these exactly and keeps those that reach the cutoff.
 
 Equal vectors are one candidate with its k + 1 smallest ids, which is all that ties to smaller ids can ask of them.
-Queries are taken in blocks of bounded size, each against all candidates.
+Queries are taken in blocks of bounded size, each against all candidates.  A partition holds all lists of its candidates,
+so phases two and three send nothing but what reaches the cutoff.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ LISTS = 4
 #: Queries that are broadcast together, about.
 QUERY_BLOCK = 2048
 SCALE = 256
+#: Candidates that are scored at a time.
+_CHUNK = 256
 
 
 def _quantised(rows: DataFrame, dim: int, k: int) -> DataFrame:
@@ -62,102 +64,84 @@ class _Block:
         self.slices = [slice(dim * b // LISTS, dim * (b + 1) // LISTS) for b in range(LISTS)]
         self.k = k
 
-    def local(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Local scores (list, query, candidate), and which pairs count: not those of a query with itself alone."""
-        v = _matrix(batch.column(1), self.vectors.shape[1])
-        most = int(np.abs(v).max(initial=0)) * int(np.abs(self.vectors).max(initial=0)) * max(1, v.shape[1])
-        kind = np.float64 if most < 2**53 else np.int64  # exact either way
-        scores = np.stack([(self.vectors[:, s].astype(kind) @ v[:, s].T.astype(kind)).astype(np.int64) for s in self.slices])
-        counts = np.ones(scores.shape[1:], bool)
-        single = [(n, x[0]) for n, x in enumerate(batch.column(2).to_pylist()) if len(x) == 1]
-        if single:
-            n, own = np.array(single, np.int64).T
-            at = np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)
-            same = self.ids[at] == own
-            counts[at[same], n[same]] = False
-        return scores, counts
+    def chunks(self, batches):
+        """Keys, ids and vectors of a chunk of candidates, its local scores (list, query, candidate), and which pairs count:
+        not those of a query with itself alone."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(at, _CHUNK)
+                v = _matrix(part.column(1), self.vectors.shape[1])
+                most = int(np.abs(v).max(initial=0)) * int(np.abs(self.vectors).max(initial=0)) * max(1, v.shape[1])
+                kind = np.float64 if most < 2**53 else np.int64  # exact either way
+                scores = np.stack([(self.vectors[:, s].astype(kind) @ v[:, s].T.astype(kind)).astype(np.int64) for s in self.slices])
+                counts, ids = np.ones(scores.shape[1:], bool), part.column(2).to_pylist()
+                single = [(n, x[0]) for n, x in enumerate(ids) if len(x) == 1]
+                if single:
+                    n, own = np.array(single, np.int64).T
+                    q = np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)
+                    same = self.ids[q] == own
+                    counts[q[same], n[same]] = False
+                yield part.column(0).to_numpy(), ids, v, scores, counts
+
+
+_LEAST = np.iinfo(np.int64).min
 
 
 def _gathered(classes: DataFrame, block: _Block) -> DataFrame:
-    """Phase one, per partition: query, list, the best entries there (key, score) and the lowest score."""
+    """Phase one, per partition and query: the lists' lowest scores, and keys and sums of each list's best entries."""
     k = block.k
 
     def run(batches):
-        keys = np.zeros((LISTS, len(block.ids), 0), np.int64)
-        best = np.zeros((LISTS, len(block.ids), 0), np.int64)
-        low = np.full((LISTS, len(block.ids)), np.iinfo(np.int64).max)
-        for batch in batches:
-            scores, counts = block.local(batch)
+        shape = (LISTS, len(block.ids), 0)
+        best, keys, sums = (np.zeros(shape, np.int64) for _ in range(3))
+        low = np.full(shape[:2], np.iinfo(np.int64).max)
+        for key, _, _, scores, counts in block.chunks(batches):
             low = np.minimum(low, scores.min(axis=2))
-            own = np.broadcast_to(batch.column(0).to_numpy(), scores.shape)
-            best = np.concatenate([best, np.where(counts, scores, np.iinfo(np.int64).min)], axis=2)
-            keys = np.concatenate([keys, own], axis=2)
+            best = np.concatenate([best, np.where(counts, scores, _LEAST)], axis=2)
+            keys = np.concatenate([keys, np.broadcast_to(key, scores.shape)], axis=2)
+            sums = np.concatenate([sums, np.broadcast_to(scores.sum(axis=0), scores.shape)], axis=2)
             if best.shape[2] > k:
-                top = np.argpartition(-best.astype(float), k - 1, axis=2)[:, :, :k]
-                best, keys = np.take_along_axis(best, top, axis=2), np.take_along_axis(keys, top, axis=2)
+                top = np.argpartition(best, best.shape[2] - k, axis=2)[:, :, -k:]
+                best, keys, sums = (np.take_along_axis(x, top, axis=2) for x in (best, keys, sums))
         if best.shape[2]:
-            rows = [(int(q), b, low[b, n], keys[b, n][g], best[b, n][g]) for b in range(LISTS) for n, q in enumerate(block.ids) for g in [best[b, n] > np.iinfo(np.int64).min]]
-            cells = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["query_id", "list", "low", "keys", "scores"])
+            for n, q in enumerate(block.ids.tolist()):
+                there = best[:, n] > _LEAST
+                cells = ([q], [low[:, n]], [keys[:, n][there]], [sums[:, n][there]])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["query_id", "low", "keys", "sums"])
 
-    return classes.mapInArrow(run, "query_id long, list int, low long, keys array<long>, scores array<long>")
+    return classes.mapInArrow(run, "query_id long, low array<long>, keys array<long>, sums array<long>")
 
 
-def _sufficient(classes: DataFrame, block: _Block, low: np.ndarray, cutoff: np.ndarray) -> DataFrame:
-    """Phase two: entries that reach the uniform threshold in some list, with the sum there and the number of other lists."""
+def _resolved(classes: DataFrame, block: _Block, low: np.ndarray, cutoff: np.ndarray) -> DataFrame:
+    """Phases two and three: exact scores that reach the cutoff, of entries that reach the uniform threshold in a list."""
+    over = cutoff - low.sum(axis=0)
 
     def run(batches):
-        for batch in batches:
-            scores, counts = block.local(batch)
-            over = scores - low[:, :, None]
-            seen = (over * LISTS >= cutoff[None, :, None]) & counts
-            q, n = np.nonzero(seen.any(axis=0))
-            got = seen[:, q, n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids[q]), pa.array(batch.column(0).to_numpy()[n]), pa.array(np.where(got, over[:, q, n], 0).sum(axis=0)), pa.array((~got).sum(axis=0).astype(np.int32))],
-                names=["query_id", "key", "seen", "unseen"],
-            )
-
-    return classes.mapInArrow(run, "query_id long, key long, seen long, unseen int")
-
-
-def _exact(pairs: DataFrame) -> DataFrame:
-    """query_id, ids, score of (query_id, query_vec, vec, ids)."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                n = batch.num_rows
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8").reshape(n, -1) for c in (1, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array((a * b).sum(axis=1))], names=["query_id", "ids", "score"])
+        for _, ids, v, scores, counts in block.chunks(batches):
+            sufficient = ((scores - low[:, :, None]) * LISTS >= over[None, :, None]).any(axis=0) & counts
+            q, n = np.nonzero(sufficient)
+            exact = np.concatenate([np.zeros(0, np.int64), *[(block.vectors[q[a : a + 8192]] * v[n[a : a + 8192]]).sum(axis=1) for a in range(0, len(q), 8192)]])
+            kept = exact >= cutoff[q]
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[q[kept]]), pa.array([ids[x] for x in n[kept]], pa.list_(pa.int64())), pa.array(exact[kept])], names=["query_id", "ids", "score"])
 
-    return pairs.select("query_id", "query_vec", "vec", "ids").mapInArrow(run, "query_id long, ids array<long>, score long")
+    return classes.mapInArrow(run, "query_id long, ids array<long>, score long")
 
 
-def _block_top(classes: DataFrame, block: _Block, queries: DataFrame, space: Workspace) -> DataFrame:
+def _block_top(classes: DataFrame, block: _Block, space: Workspace, name: str) -> DataFrame:
     k = block.k
-    first = space.save(_gathered(classes, block), "gathered")
-    lows = first.groupBy("query_id", "list").agg(F.min("low").alias("low"))
-    entry = first.select("query_id", "list", F.explode(F.arrays_zip("keys", "scores")).alias("e")).select("query_id", "list", F.col("e.keys").alias("key"), F.col("e.scores").alias("score"))
-    sums = entry.join(lows, ["query_id", "list"]).groupBy("query_id", "key").agg(F.sum(F.col("score") - F.col("low")).alias("seen"))
-    by_sum = Window.partitionBy("query_id").orderBy(F.desc("seen"), "key")
-    kth = sums.withColumn("n", F.row_number().over(by_sum)).where(F.col("n") == k).select("query_id", "seen")
+    first = space.save(_gathered(classes, block), name)
+    lowest = first.groupBy("query_id").agg(*[F.min(F.get("low", F.lit(b))).alias(f"low_{b}") for b in range(LISTS)])
+    entry = first.select("query_id", F.explode(F.arrays_zip("keys", "sums")).alias("e")).select("query_id", F.col("e.keys").alias("key"), F.col("e.sums").alias("sum")).distinct()
+    kth = entry.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum"), "key"))).where(F.col("n") == k)
     place = {q: n for n, q in enumerate(block.ids.tolist())}
-    low, cutoff = np.zeros((LISTS, len(place)), np.int64), np.zeros(len(place), np.int64)
-    for r in lows.collect():  # a row a query of the block and list
-        low[r["list"], place[r["query_id"]]] = r["low"]
-    for r in kth.collect():  # a row a query of the block
-        cutoff[place[r["query_id"]]] = r["seen"]
-
-    found = space.save(_sufficient(classes, block, low, cutoff), "sufficient")
-    second = found.withColumn("n", F.row_number().over(by_sum)).where(F.col("n") == k).select(F.col("query_id").alias("q"), F.col("seen").alias("second"))
-    cut = classes.sparkSession.createDataFrame([(int(q), int(c)) for q, c in zip(block.ids, cutoff, strict=True)], "c long, cutoff long")
-    bounded = found.join(second, found["query_id"] == second["q"], "left").join(F.broadcast(cut), F.col("query_id") == cut["c"])  # at most a block of rows
-    rest = bounded.where(LISTS * F.col("seen") + F.col("unseen") * F.col("cutoff") >= LISTS * F.coalesce("second", F.lit(0))).select("query_id", "key")
-    own = queries.select(F.col("query_id").alias("own_id"), F.col("vec").alias("query_vec"))
-    pairs = rest.join(classes, "key").join(own, rest["query_id"] == own["own_id"])
-    return _exact(pairs)
+    low, cutoff = np.zeros((LISTS, len(place)), np.int64), np.full(len(place), _LEAST)
+    for r in lowest.collect():  # a row a query of the block
+        low[:, place[r["query_id"]]] = r[1:]
+    for r in kth.select("query_id", "sum").collect():  # a row a query of the block
+        cutoff[place[r["query_id"]]] = r["sum"]
+    # with fewer than k entries all are wanted: every sum is at least that of the lowest scores
+    cutoff = np.where(cutoff == _LEAST, low.sum(axis=0), cutoff)
+    return _resolved(classes, block, low, cutoff)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, space: Workspace, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -190,7 +174,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, space: Workspace, k: int = 5,
         got = own.orderBy("query_id").collect()  # one block
         if not got:
             continue
-        part = _block_top(classes, _Block([r["query_id"] for r in got], [bytes(r["vec"]) for r in got], dim, k), own, space)
+        part = _block_top(classes, _Block([r["query_id"] for r in got], [bytes(r["vec"]) for r in got], dim, k), space, f"gathered-{b}")
         scored = part.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         part = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
