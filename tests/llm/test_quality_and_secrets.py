@@ -1,0 +1,88 @@
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from tracemill.llm import line_quality as Q
+from tracemill.llm import secrets, textkit
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.RandomState(0)
+    sizes = [1, 4, 2]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    u, turn = rng.randn(at[-1]), rng.randn(2, 2)
+    p = Q.forward_backward(u, turn, at)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        weight, ones = 0.0, np.zeros(b - a)
+        for y in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(sum(u[a + k] * v for k, v in enumerate(y)) + sum(turn[v, x] for v, x in zip(y, y[1:], strict=False)))
+            weight += w
+            ones += w * np.array(y)
+        assert np.allclose(p[a:b], ones / weight)
+
+
+def lines(text):
+    x, chars, at = Q.line_features(*textkit.flat_utf8(pa.array([text])))
+    return x, chars
+
+
+def test_features_of_long_texts_do_not_depend_on_blocks(monkeypatch):
+    text = "\n".join(" ".join(["Wörd", "two!!", "x|y"] * 9) for _ in range(30)) + "\n\n" + "end " * 80
+    whole = lines(text)
+    monkeypatch.setattr(textkit.blocks, "__defaults__", (50,))
+    parts = lines(text)
+    assert np.array_equal(whole[1], parts[1])
+    same = [k for k in range(Q.FEATURES) if k % Q.OWN not in (9, Q.OWN - 1)]  # echoes across a cut, repeats of cut lines
+    assert np.allclose(whole[0][:, same], parts[0][:, same])
+    assert whole[1][0] == len(text.split("\n")[0])
+
+
+def make(good, rng):
+    words = ["alpha", "beta", "gamma", "delta", "of", "the"]
+    out = []
+    for _ in range(rng.randint(1, 6)):
+        line = [rng.choice(words) for _ in range(rng.randint(5, 15))]
+        out.append(" ".join(line).capitalize() + "." if good else "!! ".join(line).upper() + "!!")
+    return "\n".join(out)
+
+
+def test_held_out_accuracy_and_edge_cases(spark):
+    rng = random.Random(3)
+    truth = [int(rng.random() < 0.7) for _ in range(300)]
+    rows = [(k, make(t, rng), f"s{k}") for k, t in enumerate(truth)]
+    docs = spark.createDataFrame(rows + [(1000, None, "n"), (1001, "", "e"), (None, "Alpha beta.", "null id"), (5, rows[5][1], "again"), (1002, "alpha " * 50_000, "long")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, t) for k, t in enumerate(truth) if k % 4] + [(None, 1), (8, None), (7, truth[7])], "doc_id long, quality int")
+    crf = Q.fit(docs, labels)
+    scored = Q.score(docs, crf, ["doc_id", "score"], score_col="p").collect()
+    assert len(scored) == 305 and all(0 <= r["p"] <= 1 for r in scored)
+    by = {r["doc_id"]: r["p"] for r in scored}
+    held = [k for k in range(300) if k % 4 == 0]
+    assert np.mean([(by[k] >= 0.7) == truth[k] for k in held]) > 0.97
+    assert len({r["p"] for r in scored if r["doc_id"] == 5}) == 1 and by[1000] == by[1001]
+    assert Q.score(docs.limit(0), crf, ["doc_id"]).count() == 0
+    untrained = Q.fit(docs, labels.limit(0))
+    assert np.allclose([r["score"] for r in Q.score(docs, untrained, ["doc_id"]).collect()], 0.5)
+
+
+def test_forest_held_out():
+    forest = secrets.default_forest()
+    test = secrets.labelled_findings(400, seed=77)
+    assert np.mean((forest.predict([f[:4] for f in test]) >= 0.5) == np.array([f[4] for f in test])) > 0.97
+
+
+def test_scan_and_redact(spark):
+    key = "1f9d2e8c7b6a5f4e3d2c1b0a9f8e7d6c5b4a3f2e"
+    text = f'été token = "{key}" and card 4785380592391139 here'
+    rows = [(1, text, "src"), (2, None, None), (3, "", "src"), (None, text, "src"), (1, text, "src"), (4, "x" * 300_000 + " " + text, "src"), (5, "plain words only", "src")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'z' as start")
+    forest = secrets.default_forest()
+    found = secrets.scan(docs, forest).collect()
+    hits = [(r["doc_id"], r["start"], r["length"]) for r in found if r["is_secret"]]
+    assert sorted(hits, key=str) == sorted([(1, 13, 40), (1, 13, 40), (None, 13, 40), (4, 300_014, 40)], key=str)
+    assert len(found) == 8
+    clean = {(r["doc_id"], r["text"]) for r in secrets.redact(docs, forest).collect()}
+    assert (1, text.replace(key, secrets.MARK)) in clean and (2, None) in clean and (5, "plain words only") in clean
+    assert secrets.redact(docs, forest).columns == docs.columns
+    assert secrets.scan(docs.limit(0), forest).count() == 0

@@ -52,7 +52,7 @@ FEATURES = 3 * OWN + 2
 
 def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line of every text, its length in code points, and each text's offsets in the lines.  An empty
-    text is one blank line."""
+    text is one blank line.  Only in texts longer than a block, an echo across a cut or a repeat of a cut line isn't seen."""
     n = len(off) - 1
     breaks = np.flatnonzero(buf == _NEWLINE)
     inner = np.searchsorted(breaks, off)
