@@ -71,3 +71,11 @@ def test_pack(spark):
         own.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in own] == list(np.cumsum([0] + [r["length"] for r in own])[:-1]) and sum(r["length"] for r in own) == own[0]["sequence_tokens"] <= 2048
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts_are_cut_without_a_trace(monkeypatch):
+    monkeypatch.setattr(textkit, "BLOCK_BYTES", 8)
+    texts = ["short", "The quick BROWN fox, don't jump " * 30, "", "é" * 100 + " tail 42", None, "<|endoftext|> " * 20]
+    coder, plain = packing.TextCoder(PATH), Tokenizer.from_file(PATH)
+    got = [x.tolist() for x in coder.encode(*textkit.flat_utf8(pa.array(texts)))]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]

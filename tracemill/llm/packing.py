@@ -165,7 +165,7 @@ class TextCoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text of a batch, in order."""
-        for i, j, a, b in textkit.blocks(buf, off, limit=1 << 62 if len(off) == 2 else textkit.BLOCK_BYTES * 4):
+        for i, j, a, b in textkit.blocks(buf, off, limit=4 * textkit.BLOCK_BYTES):
             if j == i + 1 and b < off[j] or a > off[i]:  # part of one very long text
                 if a == off[i]:
                     parts = []
