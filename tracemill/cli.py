@@ -1,17 +1,19 @@
-"""Command line: replayed logs to a text report, a page, tables or JSON.
+"""Command line: recorded or live logs to a text report, a page, tables or JSON.
 
-Live traces come in by sources.connect(); this front end works on recorded ones.
+Without --replay-logs, the live logs of the addresses are recorded first, for --record-seconds.
 """
 
 from __future__ import annotations
 
 import argparse
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from tracemill import sinks
 from tracemill.functions.scalars import PALETTES
+from tracemill.operators.recursion import checkpoint_dir
 from tracemill.plans import render, report
 from tracemill.plans.relations import Trace
 from tracemill.sources import logs
@@ -19,10 +21,14 @@ from tracemill.sources import logs
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracemill", description=__doc__)
-    p.add_argument("--replay-logs", nargs="+", required=True, metavar="DIR", help="directories of recorded logs")
+    p.add_argument("--replay-logs", nargs="+", metavar="DIR", help="directories of recorded logs")
     p.add_argument("--stream-encoding", choices=["parquet", "json", "frames"], default="parquet", help="format of the logs")
     p.add_argument("-d", "--differential", action="store_true", help="there is an arrangement log")
     p.add_argument("-p", "--progress", action="store_true", help="there is a progress log")
+    p.add_argument("--address", default="127.0.0.1:51317", help="of the engine log")
+    p.add_argument("--differential-address", default="127.0.0.1:51318")
+    p.add_argument("--progress-address", default="127.0.0.1:51319")
+    p.add_argument("--record-seconds", type=float, default=30)
     p.add_argument("-w", "--workers", type=int, default=0, help="partitions of the analysis (0: Spark's own)")
     p.add_argument("--palette", choices=sorted(PALETTES), default="inferno")
     p.add_argument("--output-dir", default="trace-graph", help="folder of the page")
@@ -40,7 +46,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Tr
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tracemill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     kinds = ["timely", *["differential"] * args.differential, *["timely-progress"] * args.progress]
-    read = {k: logs.read_log(spark, args.replay_logs, k, args.stream_encoding) for k in kinds}
+    if args.replay_logs:
+        read = {k: logs.read_log(spark, args.replay_logs, k, args.stream_encoding) for k in kinds}
+    else:
+        at = {"timely": args.address, "differential": args.differential_address, "timely-progress": args.progress_address}
+        live = {k: logs.socket_log(spark, at[k].rpartition(":")[0], int(at[k].rpartition(":")[2]), k) for k in kinds}
+        folder = f"{checkpoint_dir(spark)}/tracemill/live-{uuid.uuid4().hex}"
+        logs.record(live, folder, args.record_seconds)
+        read = {k: logs.recorded(spark, folder, k) for k in kinds}
     if args.workers:
         read = {k: logs.shard(df, args.workers) for k, df in read.items()}
     if args.debug_replay_files:

@@ -55,3 +55,8 @@ def negate(df: DataFrame, weight: str = "diff") -> DataFrame:
 def inspect(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """A tap: metrics are reported under the name when an action runs, the rows pass unchanged."""
     return df.observe(name, *[m.alias(n) for n, m in (metrics or {"rows": F.count(F.lit(1))}).items()])
+
+
+def delay(df: DataFrame, time: str, to: Column) -> DataFrame:
+    """Rows re-timed to a later time; a time never moves back."""
+    return df.withColumn(time, F.greatest(F.col(time), to))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,22 @@ def shard(log: DataFrame, partitions: int) -> DataFrame:
 def ticks(spark: SparkSession, per_second: int = 2) -> DataFrame:
     """A clock stream, for re-timing by processing time."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+
+
+def record(streams: dict[str, DataFrame], path: str, seconds: float) -> None:
+    """Keep live streams as Parquet in a folder per kind for so long, then stop them; recorded() reads them back."""
+    from tracemill.operators.recursion import checkpoint_dir
+
+    started = []
+    for kind, stream in streams.items():
+        at = f"{checkpoint_dir(stream.sparkSession)}/tracemill/record-{uuid.uuid4().hex}"
+        started.append(stream.writeStream.format("parquet").option("path", f"{path}/{kind}").option("checkpointLocation", at).start())
+    end = time.monotonic() + seconds
+    for query in started:
+        query.awaitTermination(max(0, int(end - time.monotonic())))
+        query.processAllAvailable()
+        query.stop()
+
+
+def recorded(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(schemas.struct(schemas.LOGS[kind])).parquet(f"{path}/{kind}")
