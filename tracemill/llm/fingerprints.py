@@ -36,16 +36,24 @@ def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         start = F.slice(h, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.least(F.size(h), F.lit(1))))
         return F.transform(start, lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, gram)]), 33) * _PLACE + (_PLACE - 1 - i))
 
-    kept = let(F.transform(words(text), lambda w: F.xxhash64(w)), grams)
-    width = 1
-    while width < window:
-        step = min(width, window - width)
+    def narrowed(m: Column) -> Column:
+        """Least of each window, from windows half as wide."""
+        width = 1
+        while width < window:
+            m = let(m, _wider(min(width, window - width)))
+            width += min(width, window - width)
+        return F.array_distinct(m)
 
-        def wider(m: Column, step: int = step) -> Column:
-            return F.transform(F.slice(m, F.lit(1), F.greatest(F.size(m) - step, F.least(F.size(m), F.lit(1)))), lambda x, i: F.least(x, F.get(m, i + step)))
+    def least(m: Column) -> Column:
+        """Up to one window's grams: the least alone, if there is any."""
+        return F.when(F.size(m) <= window, F.filter(F.array(F.array_min(m)), lambda x: x.isNotNull())).otherwise(narrowed(m))
 
-        kept, width = let(kept, wider), width + step
-    return F.array_distinct(kept)
+    return let(let(F.transform(words(text), lambda w: F.xxhash64(w)), grams), least)
+
+
+def _wider(step: int):
+    """A function of an array alone: the lesser of each element and the one `step` behind it."""
+    return lambda m: F.transform(F.slice(m, F.lit(1), F.size(m) - step), lambda x, i: F.least(x, F.get(m, i + step)))
 
 
 def positions(packed: Column) -> Column:
