@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
             cells = [(x[a:b].astype("<f4").tobytes(), chars[a:b].astype("<i8").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["id", "x", "chars"])
 
-    found = {r["id"]: r for r in chosen.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, x binary, chars binary").collect()}
+    found = {r["id"]: r for r in chosen.select(F.col(id_col).cast("long"), text_col).mapInArrow(textkit.releasing(run), "id long, x binary, chars binary").collect()}
     if not found:
         return Crf()
     ids = sorted(found)
@@ -268,4 +268,4 @@ def score(docs: DataFrame, crf: Crf, columns: list[str | Column], text_col: str
             s = np.concatenate([np.zeros(0), *[crf.score(*line_features(*textkit.flat_utf8(texts.slice(k, 200)))) for k in range(0, len(texts), 200)]])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(textkit.releasing(run), schema)

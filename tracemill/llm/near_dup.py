@@ -68,7 +68,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["id", "n", "name", "sub"]
                 )
 
-    return docs.mapInArrow(run, "id long, n long, name binary, sub array<long>")
+    return docs.mapInArrow(textkit.releasing(run), "id long, n long, name binary, sub array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -79,7 +79,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [s.astype(np.int64) for s in shingle_sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(textkit.releasing(run), "id long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:

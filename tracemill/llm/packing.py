@@ -91,11 +91,11 @@ def padded(tokens: int, window: int) -> int:
 class PieceTable:
     """Token ids by the 64-bit hash of a piece: open addressing in numpy, so a whole batch is looked up at once."""
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self):
         self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.at = np.zeros(1 << self.BITS, np.int64)
+        self.at = np.zeros(1 << self.BITS, np.int32)
         self.size = 0
         self.counts = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -165,7 +165,7 @@ class TextCoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text of a batch, in order."""
-        for i, j, a, b in textkit.blocks(buf, off, limit=4 * textkit.BLOCK_BYTES):
+        for i, j, a, b in textkit.blocks(buf, off, limit=textkit.BLOCK_BYTES):
             if j == i + 1 and b < off[j] or a > off[i]:  # part of one very long text
                 if a == off[i]:
                     parts = []
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         if rest:
             yield packed()
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(textkit.releasing(run), SCHEMA)
 
 
 def table(rows: list[tuple]) -> pa.RecordBatch:

@@ -249,7 +249,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long"), text_col, F.col(path_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, value_sha256 string, probability double, is_secret boolean")
+    return rows.mapInArrow(textkit.releasing(run), "doc_id long, start long, length long, value_sha256 string, probability double, is_secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -278,4 +278,4 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: st
                     columns[at] = pa.array(new, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select("*", F.col(path_col).cast("string").alias("_secret_path")).mapInArrow(run, schema)
+    return docs.select("*", F.col(path_col).cast("string").alias("_secret_path")).mapInArrow(textkit.releasing(run), schema)

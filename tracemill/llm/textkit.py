@@ -7,7 +7,8 @@ A-Z is lower-cased before hashing.  Hashes are 64-bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,29 @@ _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, 4 * BLOCK_BYTES + 1), base, dtype=np.uint64)
+            steps = np.full(max(n, BLOCK_BYTES + 1), base, dtype=np.uint64)
             steps[0] = 1
             _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The partition function, handing freed memory back to the system when a partition is done: workers are reused, and
+    what they keep adds up with the executor's own."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values (xor-shift-multiply)."""
     x = x ^ (x >> np.uint64(30))
