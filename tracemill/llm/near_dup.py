@@ -8,8 +8,8 @@ similarity s share a table with probability (1 - (1 - s^ROWS)^SIDE)^2: 0.999 at
 Documents with equal sets are one class from the start.  In a bucket, each class is first compared with one central
 member; only classes that this leaves outside the central member's component are then compared with the bucket's
 members of other components.  Bounds on full sets keep pairs that cannot reach the threshold from being made: set sizes,
-and shingles that no other candidate has.  All bounds are exact, nothing is capped, and only candidates' sets are
-gathered and shuffled.
+shingles that no other candidate has, and counts of the others by CELLS residues, which two sets share at most cell by
+cell.  All bounds are exact, nothing is capped, and only candidates' sets are gathered and shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from tracemill.llm.storage import Workspace
 
 ROWS = 3
 SIDE = 8
+CELLS = 64
 _SEEDS = np.random.RandomState(7919).randint(0, 1 << 63, size=(2, 2 * SIDE * ROWS), dtype=np.int64).astype(np.uint64)
 
 
@@ -77,9 +78,10 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 sets = [s.astype(np.int64) for s in shingle_sets(part.column(1), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                cells = [np.bincount(s % CELLS, minlength=CELLS).astype(np.int32) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))], names=["id", "shingles", "cells"])
 
-    return docs.mapInArrow(textkit.releasing(run), "id long, shingles array<long>")
+    return docs.mapInArrow(textkit.releasing(run), "id long, shingles array<long>, cells array<int>")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
@@ -111,21 +113,27 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     candidates = buckets.select("rep").distinct()
     sets = space.save(_full_sets(text.join(candidates, text["id"] == candidates["rep"], "left_semi").dropDuplicates(["id"]), width), "sets")
     each = sets.select("id", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("owners")).where("owners = 1").groupBy("id").agg(F.count("*").alias("alone")).select(F.col("id").alias("lone"), "alone")
-    size = sets.select("id", F.size("shingles").cast("long").alias("n"))
-    facts = size.join(alone, size["id"] == alone["lone"], "left").select(F.col("id").alias("fact"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    single = each.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("owners")).where("owners = 1")
+    per_cell = single.groupBy("id", F.pmod("shingle", F.lit(CELLS)).alias("cell")).agg(F.count("*").cast("int").alias("n"))
+    alone = per_cell.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("alone")).select(F.col("id").alias("lone"), "alone")
+    size = sets.select("id", F.size("shingles").cast("long").alias("n"), "cells")
+    shared_cells = F.transform("cells", lambda c, k: c - F.coalesce(F.try_element_at("alone", k.cast("bigint")), F.lit(0)))
+    facts = size.join(alone, size["id"] == alone["lone"], "left").select(F.col("id").alias("fact"), "n", F.when(F.col("alone").isNull(), F.col("cells")).otherwise(shared_cells).alias("cells"))
+    facts = facts.withColumn("most", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c))
     # a partner holds `percent` of the union, which is no smaller than the set
     facts = facts.where(100 * F.col("most") >= percent * F.col("n"))
     subs = classes.select(F.col("rep").alias("of"), "sub")
     facts = space.save(facts.join(subs, facts["fact"] == subs["of"]).drop("of"), "facts")
-    members = buckets.join(facts, buckets["rep"] == facts["fact"]).select("key", "table", "rep", "n", "most", "sub")
+    members = buckets.join(facts, buckets["rep"] == facts["fact"]).select("key", "table", "rep", "n", "most", "cells", "sub")
     members = space.save(members, "members")
     space.remove("buckets")
 
     def reachable(a: str, b: str) -> F.Column:
         """Whether sizes and shared shingles of the two sets leave the threshold within reach."""
-        common = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
-        return 100 * common >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
+        both = F.col(f"{a}.n") + F.col(f"{b}.n")
+        quick = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
+        close = F.aggregate(F.zip_with(f"{a}.cells", f"{b}.cells", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, c: s + c)
+        return (100 * quick >= percent * (both - quick)) & (100 * close >= percent * (both - close))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -137,8 +145,8 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
         return space.save(counted.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b"), name)
 
     # every member with the member most of whose shingles others have
-    pivot = members.groupBy("key").agg(F.max_by(F.struct("rep", "n", "most"), F.struct(F.col("most") / F.col("n"), -F.col("rep"))).alias("p"))
-    pivot = space.save(pivot.select(F.col("key").alias("at"), "p.rep", "p.n", "p.most"), "pivots")
+    pivot = members.groupBy("key").agg(F.max_by(F.struct("rep", "n", "most", "cells"), F.struct(F.col("most") / F.col("n"), -F.col("rep"))).alias("p"))
+    pivot = space.save(pivot.select(F.col("key").alias("at"), "p.rep", "p.n", "p.most", "p.cells"), "pivots")
     m, p = members.alias("m"), pivot.alias("p")
     star = m.join(p, (F.col("m.key") == F.col("p.at")) & (F.col("m.rep") != F.col("p.rep")) & reachable("m", "p"))
     links = confirmed(star.select(F.col("m.rep").alias("a"), F.col("p.rep").alias("b")), "star")
@@ -146,10 +154,10 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
 
     # members outside their pivot's component, with members of other components; two that share several tables meet in
     # the first table alone
-    tagged = members.join(label, members["rep"] == label["node"], "left").select("key", "table", "rep", "n", "most", "sub", F.coalesce("label", "rep").alias("label"))
+    tagged = members.join(label, members["rep"] == label["node"], "left").select("key", "table", "rep", "n", "most", "cells", "sub", F.coalesce("label", "rep").alias("label"))
     tagged = space.save(tagged, "tagged")
     centre = pivot.join(label, pivot["rep"] == label["node"], "left").select("at", F.coalesce("label", "rep").alias("centre"))
-    outside = tagged.join(centre, (tagged["key"] == centre["at"]) & (tagged["label"] != centre["centre"])).select("key", "table", "rep", "n", "most", "sub", "label", "centre")
+    outside = tagged.join(centre, (tagged["key"] == centre["at"]) & (tagged["label"] != centre["centre"])).select("key", "table", "rep", "n", "most", "cells", "sub", "label", "centre")
     o, t = outside.alias("o"), tagged.alias("t")
     once = (F.col("t.label") == F.col("o.centre")) | (F.col("o.rep") < F.col("t.rep"))
     before = F.exists(
