@@ -137,7 +137,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def shaped_words(buf: np.ndarray, off: np.ndarray, shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """word_hashes, with each word's shape between them if `shapes` is not 0: a number below it that hashes the first
-    three bytes and the last two of the lower-cased word."""
+    three bytes and the last two of the lower-cased word (of a shorter word, its last or first byte again)."""
     counts = np.zeros(len(off) - 1, dtype=np.int64)
     out, shape = [], []
     for i, j, a, b in blocks(buf, off):
@@ -149,9 +149,8 @@ def shaped_words(buf: np.ndarray, off: np.ndarray, shapes: int) -> tuple[np.ndar
         out.append(span_hashes(small, starts, ends))
         if shapes:
             key = np.zeros(len(starts), np.uint64)
-            for k in (starts, starts + 1, starts + 2, ends - 1, ends - 2):
-                inside = (k >= starts) & (k < ends)
-                key = key * np.uint64(257) + np.where(inside, small[np.where(inside, k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            for k in (starts, np.minimum(starts + 1, ends - 1), np.minimum(starts + 2, ends - 1), ends - 1, np.maximum(ends - 2, starts)):
+                key = key * np.uint64(257) + small[k]
             shape.append((mix64(key) % np.uint64(shapes)).astype(np.int32))
         if j == i + 1:
             counts[i] += len(starts)
