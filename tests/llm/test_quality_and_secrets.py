@@ -24,19 +24,39 @@ def test_forward_backward_against_enumeration():
 
 
 def lines(text):
-    x, chars, at = Q.line_features(*textkit.flat_utf8(pa.array([text])))
-    return x, chars
+    own, chars, at = Q.own_features(*textkit.flat_utf8(pa.array([text, "Wörd", text])))
+    return own, chars, Q.spread(own, at, 0, len(own))
 
 
 def test_features_of_long_texts_do_not_depend_on_blocks(monkeypatch):
-    text = "\n".join(" ".join(["Wörd", "two!!", "x|y"] * 9) for _ in range(30)) + "\n\n" + "end " * 80
+    text = "\n".join(" ".join(["Wörd", "two!!", "x|y", "x|y"] * 9) for _ in range(30)) + "\n\n" + "end " * 80 + "\nlast" * 50
     whole = lines(text)
-    monkeypatch.setattr(textkit.blocks, "__defaults__", (50,))
-    parts = lines(text)
-    assert np.array_equal(whole[1], parts[1])
-    same = [k for k in range(Q.FEATURES) if k % Q.OWN not in (9, Q.OWN - 1)]  # echoes across a cut, repeats of cut lines
-    assert np.allclose(whole[0][:, same], parts[0][:, same])
+    for size in (7, 50, 333):
+        monkeypatch.setattr(textkit.blocks, "__defaults__", (size,))
+        for a, b in zip(whole, lines(text), strict=True):
+            assert np.array_equal(a, b)
     assert whole[1][0] == len(text.split("\n")[0])
+    own, _, at = Q.own_features(*textkit.flat_utf8(pa.array([text, "Wörd", text])))
+    assert np.array_equal(np.concatenate([Q.spread(own, at, k, min(k + 13, len(own))) for k in range(0, len(own), 13)]), whole[2])
+
+
+def test_lines_of_one_page_may_differ():
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(rng.randint(8, 15))).capitalize() + "."
+    junk = lambda: " | ".join(rng.choice(["HOME", "LOGIN", "CART", "$$$ BUY", "CLICK!!"]) for _ in range(rng.randint(4, 9)))
+    texts, labels = [], []
+    for k in range(400):  # one good page in four has a junk footer
+        good = k % 2
+        body = [prose() if good else junk() for _ in range(rng.randint(2, 8))]
+        texts.append("\n".join(body + [junk()] * (good and k % 8 == 1)))
+        labels.append(good)
+    crf = Q.train(*Q.own_features(*textkit.flat_utf8(pa.array(texts))), np.array(labels))
+    page = [prose() for _ in range(6)] + [junk(), junk()]
+    own, _, at = Q.own_features(*textkit.flat_utf8(pa.array(["\n".join(page)])))
+    p = crf.marginals(own, at)
+    assert p[:5].min() > 0.7 and p[-1] < 0.3, p
+    scores = crf.score(*Q.own_features(*textkit.flat_utf8(pa.array(["\n".join(page[:6]), "\n".join(page), "\n".join(page[-2:])]))))
+    assert scores[0] > scores[1] > scores[2]
 
 
 def make(good, rng):

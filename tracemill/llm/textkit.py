@@ -120,13 +120,23 @@ def word_spans(piece: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np
     return np.flatnonzero(solid & first), np.flatnonzero(solid & last) + 1
 
 
-def span_hashes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, by prefix sums of a polynomial over random values of the bytes."""
+def span_sums(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial over random values of each span's bytes, by prefix sums; BASE ** k times that of a span's rest behind its
+    first k bytes adds up to that of the whole."""
     power, inverse = _powers(len(piece) + 1)
     sums = np.empty(len(piece) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE_VALUES[piece] * power[:-1], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts])
+    return (sums[ends] - sums[starts]) * inverse[starts]
+
+
+def power(k: int) -> np.uint64:
+    return np.uint64(pow(_BASE, k, 1 << 64))
+
+
+def span_hashes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes."""
+    return mix64(span_sums(piece, starts, ends))
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
