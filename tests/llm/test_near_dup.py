@@ -45,12 +45,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 80)])
+def test_against_all_pairs(spark, seed, percent):
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \t"), (903, "one two"), (904, "ONE  two"), (905, "long " * 30_000 + "tail")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
-    found = near_dup.near_duplicates(docs, Workspace(spark, "test")).collect()
-    want = plain(rows)
+    found = near_dup.near_duplicates(docs, Workspace(spark, "test"), percent=percent).collect()
+    want = plain(rows, percent)
     assert len(found) == len(rows)
     for r in found:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
@@ -63,6 +63,22 @@ def test_null_ids_repeats_and_empty(spark):
     assert near_dup.near_duplicates(docs.limit(0), Workspace(spark, "test")).count() == 0
 
 
+def test_null_ids_and_one_id_with_two_texts_link(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(3, " ".join(base)), (None, " ".join([*base[:-1], "end"])), (None, " ".join(["go", *base[1:]])), (9, " ".join([*base[:-2], "x", "y"])), (9, " ".join(other))]
+    rows += [(None, " ".join([*other[:-1], "end"])), (None, "lone one two three four"), (None, "lone one  two three four"), (0, "lone of zero")]
+    rows += [(None, " ".join(["z"] * 40 + other[:150])), (None, " ".join(["z"] * 40 + other[:150] + ["q"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dup.near_duplicates(docs, Workspace(spark, "test")).join(docs.withColumn("mark", near_dup.mark(docs["doc_id"], docs["text"])).select("mark", "text"), "mark").collect()
+    by = {r["text"]: (r["component_id"], r["kept"]) for r in found}
+    assert [by[t] for _, t in rows[:7]] == [(3, True), (3, False), (3, False), (3, False), (9, True), (9, False), by[rows[6][1]]]
+    for group in (rows[6:8], rows[9:11]):  # null ids alone: one text of each stays
+        assert all(by[t][0] is None for _, t in group) and sum(by[t][1] for _, t in group) == 1
+    assert by["lone of zero"] == (0, True)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     found = {r["node"]: r["label"] for r in components(links, Workspace(spark, "test"), "c").collect()}

@@ -3,7 +3,7 @@
 Two small collections of SIDE sub-signatures are computed, each sub-signature the combination of ROWS minhashes.  Table
 (i, j) is keyed by sub-signature i of the one with sub-signature j of the other, so SIDE * SIDE tables of 2 * ROWS
 minhashes come from 2 * SIDE * ROWS minhashes, about the square root of what separate tables take.  Two sets of
-similarity s share a table with probability (1 - (1 - s^ROWS)^SIDE)^2: 0.999 at 0.85, 0.9999 at 0.9.
+similarity s share a table with probability (1 - (1 - s^ROWS)^SIDE)^2: 0.994 at 0.8, 0.999 at 0.85, 0.9999 at 0.9.
 
 Documents with equal sets are one class from the start.  In a bucket, each class is first compared with one central
 member; only classes that this leaves outside the central member's component are then compared with the bucket's
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import textkit
@@ -47,7 +47,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """id, n_shingles, a 128-bit name of the set, and its sub-signatures."""
+    """id, mark, n_shingles, a 128-bit name of the set, and its sub-signatures."""
 
     def run(batches):
         for batch in batches:
@@ -66,10 +66,11 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                         names.append(None)
                         subs.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["id", "n", "name", "sub"]
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(subs, pa.list_(pa.int64()))],
+                    names=["id", "mark", "n", "name", "sub"],
                 )
 
-    return docs.mapInArrow(textkit.releasing(run), "id long, n long, name binary, sub array<long>")
+    return docs.mapInArrow(textkit.releasing(run), "id long, mark long, n long, name binary, sub array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -84,24 +85,30 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(textkit.releasing(run), "id long, shingles array<long>, cells array<int>")
 
 
-def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs.
+def mark(id_col: Column, text_col: Column) -> Column:
+    """Tells a row's id and text from those of other rows; never null."""
+    return F.xxhash64(id_col.cast("long"), text_col)
+
+
+def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, kept) of every row of docs.
 
     Words are runs of bytes outside ASCII white space, A-Z lower-cased; a set holds the distinct runs of `width` words,
     or the whole sequence if there are fewer.  Sets link if 100 * intersection >= percent * union.  component_id is the
-    smallest id reachable, kept whether it is the row's own.
+    smallest id reachable, kept whether it is the row's own; mark is mark() of the row.
 
-    Null and empty texts, and texts without words, have the empty set and link with nothing.  Rows that share an id count
-    as one document; repeated rows are returned as often as they occur.  A null id is never a component's id unless all
-    of its ids are null; then component_id is null and kept is true.  An empty table gives no rows; other columns are
-    ignored.
+    Null and empty texts, and texts without words, have the empty set and link with nothing.  Rows of one id but different
+    texts are linked by their own texts each; repeated rows are returned as often as they occur.  Rows with a null id link
+    like any other but never give a component its id unless all of its ids are null; then component_id is null, and kept
+    are the rows of one of its texts.  An empty table gives no rows; other columns are ignored.
     """
-    text = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    key_of = F.coalesce(F.col("id"), F.lit(0))
+    text = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), mark(docs[id_col], docs[text_col]).alias("mark"))
     signed = space.save(_signed(text, width), "signed")
-    # classes of equal sets: the smallest id stands for each
-    classes = space.save(
-        signed.where("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("sub", "id").alias("sub")), "classes"
-    )
+    # classes of equal sets, numbered; of each the row of the smallest id
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    classes = signed.where("name is not null").groupBy("name").agg(F.min(first).alias("first"), F.min("n").alias("n"), F.min_by("sub", first).alias("sub"))
+    classes = space.save(classes.select("name", F.monotonically_increasing_id().alias("rep"), "first.id", "first.mark", "n", "sub"), "classes")
     key = F.posexplode(
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda j: F.xxhash64(F.get("sub", i), F.get("sub", j + SIDE), i, j))))
     ).alias("table", "key")
@@ -110,8 +117,10 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     buckets = space.save(keyed.join(shared, keyed["key"] == shared["shared"], "left_semi"), "buckets")
 
     # full sets of the candidates, and how many of their shingles some other candidate has too
-    candidates = buckets.select("rep").distinct()
-    sets = space.save(_full_sets(text.join(candidates, text["id"] == candidates["rep"], "left_semi").dropDuplicates(["id"]), width), "sets")
+    candidates = classes.join(buckets.select(F.col("rep").alias("met")).distinct(), F.col("rep") == F.col("met"), "left_semi").select("rep", key_of.alias("row"), F.col("mark").alias("its"))
+    source = text.select("text", key_of.alias("at"), "mark")
+    chosen = source.join(candidates, (source["at"] == candidates["row"]) & (source["mark"] == candidates["its"])).dropDuplicates(["at", "mark"])
+    sets = space.save(_full_sets(chosen.select("rep", "text"), width), "sets")
     each = sets.select("id", F.explode("shingles").alias("shingle"))
     single = each.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("owners")).where("owners = 1")
     per_cell = single.groupBy("id", F.pmod("shingle", F.lit(CELLS)).alias("cell")).agg(F.count("*").cast("int").alias("n"))
@@ -128,7 +137,7 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     members = space.save(members, "members")
     space.remove("buckets")
 
-    def reachable(a: str, b: str) -> F.Column:
+    def reachable(a: str, b: str) -> Column:
         """Whether sizes and shared shingles of the two sets leave the threshold within reach."""
         both = F.col(f"{a}.n") + F.col(f"{b}.n")
         quick = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
@@ -169,9 +178,15 @@ def near_duplicates(docs: DataFrame, space: Workspace, id_col: str = "doc_id", t
     more = confirmed(rest.select(F.col("o.rep").alias("a"), F.col("t.rep").alias("b")), "rest")
     label = components(links.union(more), space, "final")
 
-    group = classes.select("name", "rep").join(label, F.col("rep") == F.col("node"), "left").select(F.col("name").alias("set_name"), F.coalesce("label", "rep").alias("component"))
-    own = signed.select("id", "n", "name")
-    found = own.join(group, own["name"] == group["set_name"], "left")
-    return found.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept")
+    # a component's smallest id, and the text that stands for it if it has none
+    named = label.join(classes.select("rep", "id", "mark"), F.col("node") == F.col("rep")).groupBy(F.col("label").alias("of")).agg(F.min("id").alias("component"), F.min("mark").alias("lead"))
+    linked = label.join(named, F.col("label") == F.col("of")).select("node", "component", "lead")
+    alone = F.col("node").isNull()
+    group = classes.join(linked, F.col("rep") == F.col("node"), "left").select(
+        F.col("name").alias("set_name"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(alone, F.col("mark")).otherwise(F.col("lead")).alias("lead")
     )
+    own = signed.select("id", "mark", "n", "name")
+    found = own.join(group, own["name"] == group["set_name"], "left")
+    component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component"))
+    kept = F.when(F.col("name").isNull(), F.lit(True)).when(F.col("component").isNotNull(), F.col("id").eqNullSafe(F.col("component"))).otherwise(F.col("mark") == F.col("lead"))
+    return found.select(F.col("id").alias("doc_id"), "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))

@@ -7,7 +7,8 @@ from tracemill.llm import near_dup, storage
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     storage.limit_arrow_batches(spark)
-    return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), storage.Workspace(spark, "near-dup"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return near_dup.near_duplicates(docs, storage.Workspace(spark, "near-dup"), percent=85).drop("mark")
 
 
 ORACLE_SQL = r"""

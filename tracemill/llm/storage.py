@@ -9,6 +9,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: bounds what a Python worker holds of a table of long texts.
@@ -16,16 +17,20 @@ ARROW_ROWS = 1000
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests, a single machine)."""
+    """The cluster's shared folder.  Only a local session may name none (tests): it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def limit_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lower the session's rows in an Arrow batch.  The setting stays: plans read it when they run, after a query returns."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 class Workspace:
@@ -34,6 +39,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{base_dir(spark)}/tracemill/{label}-{uuid.uuid4().hex}"
+        # the virtual machine outlives the session, so what a stopped session left can still be removed
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         atexit.register(self.remove)
 
     def at(self, name: str) -> str:
@@ -47,8 +54,7 @@ class Workspace:
     def remove(self, name: str = "") -> None:
         """Delete one table that nothing reads any more, or the whole folder."""
         try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may have ended before this process
+            path = self._jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)
+            path.getFileSystem(self._conf).delete(path, True)
+        except (Py4JError, OSError):  # the virtual machine has ended before this process
             pass
