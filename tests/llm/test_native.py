@@ -97,3 +97,24 @@ def test_mixing(spark):
     assert mixing.sample(docs.limit(0), Workspace(spark, "test")).count() == 0
     prefixed = mixing.sample(docs, Workspace(spark, "test"), prefix="_m_")
     assert prefixed.columns == [*docs.columns, "_m_topic", "_m_tokens", "_m_rate", "_m_sampled"]
+    clash = docs.selectExpr("*", *[f"'mine' AS {c}" for c in ("_lang", "_source", "_topic", "_tokens", "_s", "_l", "_t", "_rate", "_mixing", "_mixing_source")])
+    assert {(r["_lang"], r["_s"], r["_mixing"]) for r in mixing.sample(clash, Workspace(spark, "test")).collect()} == {("mine",) * 3}
+
+
+def test_mixing_meets_given_targets(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randint(10, 40), rng.choice("ab"), rng.choice(["en", "de"])) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    target = lambda **shares: spark.createDataFrame(list(shares.items()), "value string, share double")
+    wanted = {"source": target(a=0.7, b=0.3), "lang": target(en=0.4, de=0.6), "topic": target(prose=1.0)}
+    want = {"a": 0.7, "b": 0.3, "en": 0.4, "de": 0.6}
+    for cells in (100_000, 1):  # in one task, and by shuffles
+        monkeypatch.setattr(mixing, "SMALL_CELLS", cells)
+        got = mixing.sample(docs, Workspace(spark, "test"), share=0.3, targets=wanted).collect()
+        total = sum(r["tokens"] for r in got)
+        for k, v in want.items():
+            assert abs(sum(r["tokens"] * r["rate"] for r in got if k in (r["source"], r["lang"])) / total / 0.3 - v) < 1e-6
+    cells = docs.groupBy("source", "lang", F.lit("prose").alias("topic")).agg(F.sum(mixing.tokens(F.col("text"))).alias("tokens"))
+    missed = mixing.misses(mixing.fit(cells, wanted, 0.3, Workspace(spark, "test"))).collect()
+    assert len(missed) == 5 and all(abs(r["want"] - r["expected"]) < 1e-3 for r in missed)
+    assert all(r["rate"] == 0 for r in mixing.sample(docs, Workspace(spark, "test"), targets={"lang": target(en=1.0)}).collect() if r["lang"] == "de")

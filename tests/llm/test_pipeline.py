@@ -45,7 +45,7 @@ def odd(spark):
     long = " ".join(f"word{k} and" for k in range(60_000)) + "."
     rows = [(1, "A fine day is here, and we walk along the river.", "en", "web"), (1, "A fine day is here, and we walk along the river.", "en", "web"), (2, None, None, None), (3, "", "en", "web")]
     rows += [(None, "A fine day is here, and we walk along the river.", "en", "web"), (None, None, "en", "web"), (None, "Nobody knows who wrote this line.", None, "web"), (5, long, "de", None)]
-    docs = spark.createDataFrame([(*r, r[1] and len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     return docs.selectExpr("*", "'c' AS score", "'c' AS mark", "'c' AS kept", "'c' AS copies", "'c' AS topic", "'c' AS tokens", "'c' AS rate", "'c' AS _lang", "'c' AS _s", "'c' AS start")
 
 

@@ -1,24 +1,29 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame expressions alone.
 
 Tokens are summed per cell of source, language and topic.  Each fitting step scales every cell's rate so that one
-margin's expected tokens meet their targets, a rate staying at most 1; steps go round the margins.  The fitted rate of a
-document's cell is its probability of being sampled.  Cells are few and pre-aggregated before any shuffle, so a source
-that holds most rows is one small row here.
+margin's expected tokens meet their targets, a rate staying at most 1; steps go round the margins until a round moves no
+rate by more than TOLERANCE.  The fitted rate of a document's cell is its probability of being sampled.  Cells are
+pre-aggregated before any shuffle, so a source that holds most rows is a few small rows here; up to SMALL_CELLS of them are
+fitted in one task, more in a shuffle a margin.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.llm.expressions import unused
 from tracemill.llm.storage import Workspace
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 6
-#: Cells that are broadcast to the documents at most; beyond, the two are joined by a shuffle.
-BROADCAST_CELLS = 100_000
+#: Rounds end when no rate moves by more in one, at the latest after so many; STORED rounds make one stored table.
+TOLERANCE = 1e-9
+MOST_ROUNDS = 120
+STORED = 6
+#: Cells that are fitted in one task, and broadcast to the documents, at most; beyond, both are joins by a shuffle.
+SMALL_CELLS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -47,42 +52,72 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return own.select("value", (F.col("t") / F.lit(own.agg(F.sum("t")).first()[0] or 1.0)).alias("share"))
 
 
-def fit(cells: DataFrame, targets: Mapping[str, DataFrame], share: float, space: Workspace, rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins, tokens) with rate: the calibrated probability of each cell.
+def fit(cells: DataFrame, targets: Mapping[str, DataFrame], share: float, space: Workspace) -> DataFrame:
+    """cells (margins, tokens) with rate, the calibrated probability of each cell, and want_<m> for each margin m, the tokens
+    that its value should have.
 
-    Margin m's expected tokens approach share * all tokens * targets[m]; a margin value without a target has none.  Rates
-    that would pass 1 stay at 1, so a target beyond what there is is met as far as possible.
+    Margin m's expected tokens approach share * all tokens * targets[m] (value, share); a margin value without a target has
+    none.  Rates that would pass 1 stay at 1, so a target beyond what there is is met as far as possible; misses() tells by
+    how much.
     """
-    budget = (cells.agg(F.sum("tokens")).first()[0] or 0) * float(share)
-    wanted = {m: space.save(targets[m].select(F.col("value").alias(m), (F.col("share") * F.lit(budget)).alias("want")), f"target-{m}") for m in targets}
+    facts = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
+    budget = (facts["t"] or 0) * float(share)
     fitted = cells.withColumn("rate", F.lit(float(share)))
-    for k in range(rounds):
-        for m, want in wanted.items():
-            have = fitted.groupBy(m).agg(F.sum(F.col("tokens") * F.col("rate")).alias("have")).join(want, m, "left")
-            scale = have.select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("scale"))
-            fitted = fitted.join(scale, m).withColumn("rate", F.least(F.lit(1.0), F.col("rate") * F.col("scale"))).drop("scale")
+    for m, target in targets.items():
+        want = target.select(F.col("value").alias("_value"), (F.col("share") * F.lit(budget)).alias(f"want_{m}"))
+        fitted = fitted.join(want, F.col(m) == F.col("_value"), "left").drop("_value")
+    for k in range(0, MOST_ROUNDS, STORED):
+        # a single partition meets every window's needs without a shuffle
+        fitted = fitted.coalesce(1) if facts["n"] <= SMALL_CELLS else fitted
+        for n in range(STORED):
+            fitted = fitted.withColumn("before", F.col("rate")) if n + 1 == STORED else fitted
+            for m in targets:
+                have = F.sum(F.col("tokens") * F.col("rate")).over(Window.partitionBy(m))
+                scale = F.when(have > 0, F.coalesce(f"want_{m}", F.lit(0.0)) / have).otherwise(1.0)
+                fitted = fitted.withColumn("rate", F.least(F.lit(1.0), F.col("rate") * scale))
         fitted = space.save(fitted, f"rates-{k}")
+        moved = fitted.agg(F.max(F.abs(F.col("rate") - F.col("before")))).first()[0]
         if k:
-            space.remove(f"rates-{k - 1}")
+            space.remove(f"rates-{k - STORED}")
+        fitted = fitted.drop("before")
+        if moved is None or moved <= TOLERANCE:
+            break
     return fitted
 
 
-def sample(docs: DataFrame, space: Workspace, share: float = 0.5, power: float = 0.7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", prefix: str = "") -> DataFrame:
+def misses(fitted: DataFrame, margins=MARGINS) -> DataFrame:
+    """(margin, value, want, expected) of a fit: wanted tokens, and those to expect at its rates."""
+    found = None
+    for m in margins:
+        own = fitted.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.coalesce(F.max(f"want_{m}"), F.lit(0.0)).alias("want"), F.sum(F.col("tokens") * F.col("rate")).alias("expected"))
+        found = own if found is None else found.union(own)
+    return found
+
+
+def sample(
+    docs: DataFrame, space: Workspace, share: float = 0.5, power: float = 0.7, targets: Mapping[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", lang_col: str = "lang", prefix: str = "",
+) -> DataFrame:
     """All rows and columns of docs with topic, tokens, rate and sampled, each behind the prefix.
 
-    Targets are the natural shares to `power`.  sampled holds where a number drawn from the id lies below the rate, so it
-    does not depend on order or partitions, and repeated rows are sampled alike.  Null sources and languages are margin
-    values of their own; null and empty texts hold no tokens, and cells without tokens keep the rate `share` unless their
-    margins ask for less.  No rows give no rows.  Columns of docs with the names above are replaced.
+    targets names the shares (value, share) that margins should have of the tokens; margins it lacks get their natural
+    shares to `power`.  sampled holds where a number drawn from the id lies below the rate, so it does not depend on order
+    or partitions, and repeated rows are sampled alike.  Null sources and languages are margin values of their own; null and
+    empty texts hold no tokens, and cells without tokens keep the rate `share` unless their margins ask for less.  No rows
+    give no rows.  Columns of docs with the names above are replaced; others may have any names.
     """
     docs = docs.drop(*[f"{prefix}{c}" for c in ("topic", "tokens", "rate", "sampled")])
-    tagged = docs.withColumns({"_source": margin(F.col(source_col)), "_lang": margin(F.col(lang_col)), "_topic": topic(F.col(text_col)), "_tokens": tokens(F.col(text_col))})
-    cells = tagged.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
-    cells = space.save(cells, "cells")
-    rates = fit(cells, {m: tempered(cells, m, power) for m in MARGINS}, share, space)
-    rates = rates.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("rate").alias("_rate"))
-    if rates.count() <= BROADCAST_CELLS:
+    own = unused(docs.columns, "mixing")
+    facts = {"source": margin(F.col(source_col)), "lang": margin(F.col(lang_col)), "topic": topic(F.col(text_col)), "tokens": tokens(F.col(text_col))}
+    tagged = docs.withColumn(own, F.struct(*[c.alias(n) for n, c in facts.items()]))
+    cells = space.save(tagged.groupBy(*[F.col(f"{own}.{m}").alias(m) for m in MARGINS]).agg(F.sum(f"{own}.tokens").alias("tokens")), "cells")
+    wanted = {m: targets[m] if targets and m in targets else tempered(cells, m, power) for m in MARGINS}
+    rates = fit(cells, wanted, share, space)
+    names = {m: unused(docs.columns, f"mixing_{m}") for m in (*MARGINS, "rate")}
+    rates = rates.select(*[F.col(m).alias(n) for m, n in names.items()])
+    if rates.count() <= SMALL_CELLS:
         rates = F.broadcast(rates)
-    found = tagged.join(rates, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
-    own = {"topic": F.col("_topic"), "tokens": F.col("_tokens"), "rate": F.col("_rate"), "sampled": uniform(F.col(id_col)) < F.col("_rate")}
-    return found.select(*docs.columns, *[value.alias(f"{prefix}{name}") for name, value in own.items()])
+    on = [F.col(f"{own}.{m}") == F.col(names[m]) for m in MARGINS]
+    rate = F.col(names["rate"])
+    added = {"topic": F.col(f"{own}.topic"), "tokens": F.col(f"{own}.tokens"), "rate": rate, "sampled": uniform(F.col(id_col)) < rate}
+    return tagged.join(rates, on).select(*docs.columns, *[value.alias(f"{prefix}{name}") for name, value in added.items()])

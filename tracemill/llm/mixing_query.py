@@ -12,10 +12,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "topic", "tokens", F.round("rate", 6).alias("rate"), "sampled")
 
 
+#: Rounds of the SQL: past where the operator's tolerance ends its own.
+ROUNDS = 40
+
+
 def _steps() -> str:
     """One common table expression a fitting step."""
     out, last = [], "start"
-    for k in range(mixing.ROUNDS):
+    for k in range(ROUNDS):
         for m in mixing.MARGINS:
             name = f"step_{k}_{m}"
             out.append(
