@@ -9,27 +9,42 @@ from tracemill.llm import licences, mixing
 from tracemill.llm.storage import Workspace
 
 
+def rolled(h, gram):
+    """Hashes of all runs, each from the one before."""
+    turn = lambda x, k: ((x << k % 64) | (x >> (64 - k % 64))) & (1 << 64) - 1 if k % 64 else x
+    h = [x & (1 << 64) - 1 for x in h]
+    first = 0
+    for k in range(gram):
+        first = turn(first, 1) ^ (h[k] if k < len(h) else 0)
+    out = [first] if h else []
+    for k in range(gram, len(h)):
+        out.append(turn(out[-1], 1) ^ turn(h[k - gram], gram) ^ h[k])
+    return out
+
+
 def test_winnowing_against_windows(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 2, 3, 4, 6, 7, 30, 200)] + ["日本語 text"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    grams = F.transform(W.words(F.col("t")), lambda w: F.xxhash64(w))
-    rows = df.select("k", W.positions(W.selected(F.col("t"))).alias("p"), W.words(F.col("t")).alias("w"), grams.alias("h")).collect()
-    spark.createDataFrame([(r["k"], i, r["h"][i : i + W.GRAM]) for r in rows for i in range(max(1, len(r["h"]) - W.GRAM + 1)) if r["h"]], "k int, i int, h array<long>").createOrReplaceTempView("grams")
-    hashed = {}
-    for r in spark.sql("SELECT k, i, xxhash64(get(h, 0), get(h, 1), get(h, 2)) AS x FROM grams").collect():
-        hashed.setdefault(r["k"], {})[r["i"]] = (r["x"] & ((1 << 64) - 1)) >> 33
+    rows = df.select("k", W.winnowed(F.col("t")).alias("p"), W.words(F.col("t")).alias("w"), F.transform(W.words(F.col("t")), lambda w: F.xxhash64(w)).alias("h")).collect()
     for r in rows:
-        own = hashed.get(r["k"], {})
-        want = set()
+        own = rolled(r["h"], W.GRAM)
+        want = {}
         for a in range(max(1, len(own) - W.WINDOW + 1)) if own else ():
-            window = [(own[i], -i) for i in range(a, min(a + W.WINDOW, len(own)))]
-            h, i = min(window)
-            want.add((h, -i))
-        assert {(p["hash"], p["place"]) for p in r["p"]} == want
+            _, i = min((own[i] >> 33, -i) for i in range(a, min(a + W.WINDOW, len(own))))
+            want[-i] = own[-i]
+        assert [(p["hash"] & (1 << 64) - 1, p["place"]) for p in r["p"]] == [(h, i) for i, h in sorted(want.items())]
     assert rows[-1]["w"] == ["日", "本", "語", "text"]
 
 
+def marks(fingerprint):
+    return {fingerprint[k : k + 16] for k in range(0, len(fingerprint), 16)}
+
+
+def like(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_edits_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(W, "RANGE_ROWS", 4)
     rng = random.Random(5)
@@ -43,7 +58,9 @@ def test_edits_and_ranges(spark, monkeypatch):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
         assert found[i]["n_chars"] == len(t) and found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= found[i]["near_edited"] <= 1 and 0 <= found[i]["near_next"] <= 1
+        own, other, following = (marks(x) for x in (found[i]["fingerprint"], found[i]["edited_fingerprint"], found[order[(k + 1) % len(order)][0]]["fingerprint"]))
+        assert found[i]["near_edited"] == like(own, other) and found[i]["near_next"] == like(own, following)
+        assert len(found[i]["places"]) * 16 == len(found[i]["fingerprint"]) and len(found[i]["edited_places"]) * 16 == len(found[i]["edited_fingerprint"])
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert W.edits(one).first()["near_next"] == 1.0
     assert W.edits(one.limit(0)).count() == 0

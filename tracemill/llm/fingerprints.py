@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
-Every run of GRAM words is hashed, of every WINDOW successive hashes the least is kept (of equal ones the rightmost), and
-its position with it.  Two texts that share a passage of GRAM + WINDOW - 1 words share a kept hash.  The minimum of a
-window comes from doubling: minima of 2, then 4 hashes, and so on.  A hash (31 bits) and its place are one long, smaller
-for a smaller hash and then for a later place, so the least long is the window's choice.
+Every run of GRAM words has a rolling hash (a cyclic polynomial over its words' 64-bit hashes), of every WINDOW successive
+hashes the least is kept (of equal ones the rightmost), and its position with it.  Two texts that share a passage of
+GRAM + WINDOW - 1 words share a kept hash, and the positions tell where.  As lambdas carry no state, each gram's hash is
+written as the sum that the rolling update would reach.  The minimum of a window comes from doubling: minima of 2, then 4
+hashes, and so on.  The windows compare the upper 31 bits of a hash with its place in one long, smaller for a smaller hash
+and then for a later place; what is kept is the whole hash.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ GRAM = 3
 WINDOW = 4
 _PLACE = 1 << 32
 
-#: Rows in one range of ids, about; at most MAX_RANGES ranges.
+#: Rows in one range of ids, about; at most MAX_RANGES ranges, beyond which ranges grow (and are sorted by spilling).
 RANGE_ROWS = 512
-MAX_RANGES = 4096
+MAX_RANGES = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -29,12 +31,26 @@ def words(text: Column) -> Column:
     return F.filter(F.when(low.rlike(han), F.split(low, rf"\s+|(?<={han})|(?={han})")).otherwise(F.split(low, r"\s+")), lambda w: w != "")
 
 
-def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """Kept hashes with their places, packed, in order of place; a text of fewer words is one gram, without words none."""
+def rotated(x: Column, by: int) -> Column:
+    return x if by % 64 == 0 else F.shiftleft(x, by % 64).bitwiseOR(F.shiftrightunsigned(x, 64 - by % 64))
 
-    def grams(h: Column) -> Column:
-        start = F.slice(h, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.least(F.size(h), F.lit(1))))
-        return F.transform(start, lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, gram)]), 33) * _PLACE + (_PLACE - 1 - i))
+
+def grams(h: Column, gram: int = GRAM) -> Column:
+    """Rolling hash of every run of `gram` word hashes, or of all of them if there are fewer."""
+    starts = F.slice(h, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.least(F.size(h), F.lit(1))))
+
+    def one(x: Column, i: Column) -> Column:
+        total = rotated(x, gram - 1)
+        for j in range(1, gram):
+            total = total.bitwiseXOR(rotated(F.coalesce(F.get(h, i + j), F.lit(0)), gram - 1 - j))
+        return total
+
+    return F.transform(starts, one)
+
+
+def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """Kept hashes as an array of (hash, place) in order of place; places count words from 0.  A text of fewer words is one
+    gram, one without words has none."""
 
     def narrowed(m: Column) -> Column:
         """Least of each window, from windows half as wide."""
@@ -48,7 +64,12 @@ def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         """Up to one window's grams: the least alone, if there is any."""
         return F.when(F.size(m) <= window, F.filter(F.array(F.array_min(m)), lambda x: x.isNotNull())).otherwise(narrowed(m))
 
-    return let(let(F.transform(words(text), lambda w: F.xxhash64(w)), grams), least)
+    def kept(g: Column) -> Column:
+        packed = F.transform(g, lambda x, i: F.shiftrightunsigned(x, 33) * _PLACE + (_PLACE - 1 - i))
+        places = F.transform(let(packed, least), lambda v: (_PLACE - 1 - v.bitwiseAND(F.lit(_PLACE - 1))).cast("int"))
+        return F.transform(places, lambda p: F.struct(F.get(g, p).alias("hash"), p.alias("place")))
+
+    return let(let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: grams(h, gram)), kept)
 
 
 def _wider(step: int):
@@ -56,24 +77,23 @@ def _wider(step: int):
     return lambda m: F.transform(F.slice(m, F.lit(1), F.size(m) - step), lambda x, i: F.least(x, F.get(m, i + step)))
 
 
-def positions(packed: Column) -> Column:
-    """Kept hashes and places as an array of (hash, place); places count words from 0."""
-    return F.transform(packed, lambda v: F.struct(F.shiftright(v, 32).alias("hash"), (_PLACE - 1 - v.bitwiseAND(F.lit(_PLACE - 1))).alias("place")))
+def hashes(kept: Column) -> Column:
+    return F.transform(kept, lambda k: k["hash"])
 
 
-def hashes(packed: Column) -> Column:
-    return F.transform(packed, lambda v: F.shiftright(v, 32).cast("int"))
+def places(kept: Column) -> Column:
+    return F.transform(kept, lambda k: k["place"])
 
 
 def digest(kept: Column) -> Column:
-    """The kept hashes in order of place, eight hexadecimal digits each."""
-    return F.array_join(F.transform(kept, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    """The kept hashes in order of place, sixteen hexadecimal digits each."""
+    return F.array_join(F.transform(kept, lambda k: F.lower(F.lpad(F.hex(k["hash"]), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two fingerprints' hashes; 1 if both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    return let(F.struct(common.alias("c"), F.size(F.array_union(a, b)).alias("u")), lambda s: F.when(s["u"] == 0, 1.0).otherwise(s["c"] / s["u"]))
+    a, b = hashes(a), hashes(b)
+    return let(F.struct(F.size(F.array_intersect(a, b)).alias("c"), F.size(F.array_union(a, b)).alias("u")), lambda s: F.when(s["u"] == 0, 1.0).otherwise(s["c"] / s["u"]))
 
 
 def _ranges(docs: DataFrame, id_col: str) -> list[int]:
@@ -83,16 +103,18 @@ def _ranges(docs: DataFrame, id_col: str) -> list[int]:
     if rows["n"] == 0:
         return []
     shares = [k / parts for k in range(1, parts)]
-    found = docs.select(F.percentile_approx(id_col, shares, 10 * MAX_RANGES).alias("p")).first()["p"] if shares else []
+    found = docs.select(F.percentile_approx(id_col, shares, 4 * parts + 1000).alias("p")).first()["p"] if shares else []
     return sorted({*(found or []), rows["top"]})
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
-    """docs with next_<c> for each carried column: its value in the next row by descending id, in the first row's after
-    the last.  Null ids come last; rows of equal id are ordered by their carried values; a single row follows itself.
+def with_next(docs: DataFrame, id_col: str, carried: str, derived: dict[str, Column]) -> DataFrame:
+    """docs with the derived columns, and next_<c> for the carried column and each derived one: its value in the next row by
+    descending id, in the first row's after the last.  Ids are whole numbers.  Null ids come last; rows of equal id are
+    ordered by the carried value; a single row follows itself.
 
-    Rows are dealt into ranges of ids.  A row that ends a range also goes to the range above it, as the row that follows
-    that range's last, and the greatest id's row to the lowest range, so that each range is complete in itself.
+    Rows are dealt into ranges of ids, in one shuffle, behind which the derived columns are computed.  A row that ends a
+    range also goes to the range above it, as the row that follows that range's last, and the greatest id's row to the
+    lowest range, so that each range is complete in itself.
     """
     ends = _ranges(docs, id_col)
     if not ends:
@@ -100,9 +122,8 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
         copies = F.array(F.struct(F.lit(0).alias("range"), F.lit(0).alias("turn")), F.struct(F.lit(0).alias("range"), F.lit(2).alias("turn")))
     else:
         step = max(1, int(len(ends) ** 0.5))
-        coarse = F.array(*[F.lit(e) for e in ends[step - 1 :: step]])
         key = F.col(id_col)
-        whole = F.array(*[F.lit(e) for e in ends])
+        coarse, whole = (F.split(F.lit(",".join(map(str, some))), ",").cast("array<long>") for some in (ends[step - 1 :: step], ends))
         skip = F.size(F.filter(coarse, lambda e: e < key)) * step
         first = F.coalesce(skip + F.size(F.filter(F.slice(whole, skip + 1, F.lit(step)), lambda e: e < key)), F.lit(0))
         ends_range = F.coalesce(F.array_contains(whole, key), F.lit(False))
@@ -113,24 +134,27 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
             F.when(wrap, F.array(F.struct(F.lit(0).alias("range"), F.lit(2).alias("turn")))).otherwise(F.array().cast("array<struct<range:int,turn:int>>")),
         )
     dealt = docs.withColumn("_copy", F.explode(copies)).withColumns({"_range": F.col("_copy.range"), "_turn": F.col("_copy.turn")}).drop("_copy")
-    order = Window.partitionBy("_range").orderBy("_turn", F.col(id_col).desc_nulls_last(), *carried)
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_turn = 0").drop("_range", "_turn")
+    dealt = dealt.repartition("_range").withColumns(derived)
+    order = Window.partitionBy("_range").orderBy("_turn", F.col(id_col).desc_nulls_last(), carried)
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in (carried, *derived)}).where("_turn = 0").drop("_range", "_turn")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, places, edited_places) of every
+    row.
 
     The edited text is the text without its last floor(n_chars / 3) code points, followed by the first as many (or all)
-    of the next document by descending id.  Null texts count as empty; an empty text has an empty fingerprint.  Null ids,
-    repeated rows and rows of equal id: see with_next.  No rows give no rows; other columns are ignored.
+    of the next document by descending id.  places are those of the fingerprint's hashes, in words from 0.  Null texts count
+    as empty; an empty text has an empty fingerprint.  Null ids, repeated rows and rows of equal id: see with_next.  No rows
+    give no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    base = base.withColumn("kept", hashes(selected(F.col("text"))))
-    chained = with_next(base, id_col, ["text", "kept"]).withColumn("n_chars", F.length("text").cast("long"))
+    chained = with_next(base, id_col, "text", {"kept": winnowed(F.col("text"))}).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = chained.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
-    edited = edited.withColumn("edited_kept", hashes(selected(F.col("edited"))))
+    edited = edited.withColumn("edited_kept", winnowed(F.col("edited")))
+    own, other = F.col("kept"), F.col("edited_kept")
     return edited.select(
-        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(own).alias("fingerprint"), digest(other).alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"), likeness(own, F.col("next_kept")).alias("near_next"), places(own).alias("places"), places(other).alias("edited_places"),
     )
