@@ -68,29 +68,52 @@ def test_edits_and_ranges(spark, monkeypatch):
     assert len({r["fingerprint"] for r in W.edits(twice).collect()}) == 1 and W.edits(twice).count() == 3
 
 
-def plain_scan(text):
-    units = re.sub(r"[^\w\n]+|_", " ", (text or "").lower()).split("\n")
+def plain_scan(text, known):
+    """All passages of all templates, one by one."""
+    w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
     best = []
-    for n, u in enumerate([" ".join(units), *units]):
-        w = u.split()
-        own = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
-        scores = [(2 * len(own & set(b)) / (len(own) + len(b)), name) for name, t in licences.TEMPLATES for b in [licences.bigrams_of(t)] if own]
-        top = max([s for s in scores if s[0] >= 0.8], default=None)
-        if top:
-            best.append((top[0], -n, top[1]))
+    for t in known:
+        own = set(t.bigrams)
+        at = [i for i, g in enumerate(grams) if g in own]
+        runs = []
+        for i in at:
+            if runs and i - runs[-1][-1] <= t.gap:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        solid = [r for r in runs if len(r) >= t.run]
+        found = []
+        for n, x in enumerate(solid):
+            for y in solid[n:]:
+                lo, hi = x[0], y[-1]
+                passage = set(grams[lo : hi + 1])
+                if hi - lo + 1 <= t.longest and 2 * len(passage & own) / (len(passage) + len(own)) >= t.threshold:
+                    found.append((2 * len(passage & own) / (len(passage) + len(own)), -lo, t.licence, hi - lo + 1))
+        best += [max(found)] if found else []
     return ",".join(sorted({b[2] for b in best})), max(best, default=None)
 
 
 def test_licences(spark):
+    known = licences.templates()
+    whole = {t.licence: t.text for t in known}  # the full texts come last
+    prose = "of the people and to the sea in the end we went on with the work of all the others " * 9
+    comment = lambda t: "\n".join(f" * {x}" for x in t.split("\n"))
     texts = [
         None, "", "word", "Intro.\nReleased under the MIT License.\nMore.", "licensed*** under%%% cc&&& BY-NC### 4.0!!", "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "x " * 30_000 + "\nLicensed under CC BY 4.0.", "Released under the MIT License.",
+        prose + comment(whole["MIT"]) + prose, "int x;\n/*\n" + comment(whole["ISC"]) + "\n*/", prose + whole["BSD-3-Clause"].replace("COPYRIGHT HOLDER", "ACME CORPORATION LIMITED OF NOWHERE"),
+        "see Released under\n  the MIT\n License here", whole["GPL-2.0-only"], prose + whole["Apache-2.0"] + prose, whole["MIT"][:300], prose * 3,
     ]
     df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)] + [(None, texts[3], "z"), (3, texts[3], "z")], "doc_id long, text string, dice string")
-    for r in licences.scan(df).collect():
-        names, best = plain_scan(r["text"])
-        assert r["licences"] == names
-        assert (r["dice"], r["licence_line"], r["licence"]) == ((best[0], -best[1], best[2]) if best else (None, None, None))
+    df = df.selectExpr("*", "'mine' AS _found", "'mine' AS _licence_grams", "'mine' AS _licence_hits")
+    found = licences.scan(df).collect()
+    for r in found:
+        names, best = plain_scan(r["text"], known)
+        assert r["licences"] == names and r["_found"] == r["_licence_hits"] == "mine"
+        assert (r["dice"], r["licence_place"], r["licence"], r["licence_bigrams"]) == ((best[0], -best[1], best[2], best[3]) if best else (None,) * 4)
+    by = {r["doc_id"]: r["licence"] for r in found if r["doc_id"] is not None}
+    assert [by[k] for k in (9, 10, 11, 12, 13, 14, 15, 16)] == ["MIT", "ISC", "BSD-3-Clause", "MIT", "GPL-2.0-only", "Apache-2.0", None, None]
     assert licences.scan(df.limit(0)).count() == 0
 
 

@@ -1,20 +1,32 @@
 """Licence scans in DataFrame expressions: Dice coefficient over word bigrams against licence templates.
 
-A text and its lines are normalised (lower case, every run of characters other than letters and digits a space) and cut
-into distinct word bigrams.  With a bigrams on one side and b on the other, Dice is at most 2 * min(a, b) / (a + b), so
-only templates with b in [a * t / (2 - t), a * (2 - t) / t] are compared for a threshold t.  Everything is one projection
-of the scan: no shuffle, no join, no Python.
+Texts are normalised (lower case, every run of characters other than letters and digits a space) and cut into word bigrams,
+whatever lines they stand on.  For each template a text's passages are compared:
+
+* the places where a bigram of the template stands, with gaps of at most `gap` places, form runs; a run of at least `run`
+  such places is solid;
+* a passage goes from the start of one solid run to the end of the same or a later one, over at most `longest` places.
+
+With a distinct bigrams in the passage, b in the template and c in both, Dice is 2c / (a + b).  Bounds by size prune before
+any passage is made: c is at least `least` = t * b / (2 - t) for a threshold t, so a template with fewer places in a text
+is out, and a passage with fewer too; `longest` lies beyond what the threshold allows an undoubled passage.  Everything is
+one projection of the scan: no shuffle, no join, no Python.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import cached_property
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.expressions import let
+from tracemill.llm.expressions import let, unused
 
-#: Notices by which licences are commonly granted, under their SPDX names, and the text of one short licence.
-TEMPLATES = (
+#: Notices by which licences are commonly granted, under their SPDX names.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -29,6 +41,24 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     (
         "ISC",
@@ -36,6 +66,8 @@ TEMPLATES = (
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
 )
+#: Full texts, in files named by their SPDX names.
+TEXTS = Path(__file__).with_name("licence_texts")
 
 
 def words_of(text: str) -> list[str]:
@@ -48,59 +80,99 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def normalised(text: Column) -> Column:
-    """Line breaks stay."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+@dataclass(frozen=True)
+class Template:
+    licence: str
+    text: str
+    threshold: float = 0.8
+
+    @cached_property
+    def bigrams(self) -> list[str]:
+        return bigrams_of(self.text)
+
+    @property
+    def least(self) -> int:
+        return max(1, math.ceil(self.threshold * len(self.bigrams) / (2 - self.threshold) - 1e-9))
+
+    @property
+    def gap(self) -> int:
+        return 1 + min(3, len(self.bigrams) // 5)
+
+    @property
+    def run(self) -> int:
+        return 1 + len(self.bigrams) // 20
 
+    @property
+    def longest(self) -> int:
+        return int(len(words_of(self.text)) * (2 - self.threshold) / self.threshold)
 
-def bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of a normalised unit, a text or a line."""
+    @property
+    def reach(self) -> int:
+        """Solid runs that a passage can hold: each takes `run` places and the gap behind it, at least."""
+        return self.longest // (self.run + self.gap) + 1
+
+
+def templates(threshold: float = 0.8) -> list[Template]:
+    full = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    return [Template(name, text, threshold) for name, text in (*NOTICES, *full)]
+
+
+def bigrams(text: Column) -> Column:
+    """Word bigrams of a text in order."""
+    low = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
     return let(
-        F.filter(F.split(unit, r"[ \n]+"), lambda w: w != ""),
-        lambda words: F.array_distinct(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))),
+        F.filter(F.split(low, " "), lambda w: w != ""),
+        lambda words: F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))),
     )
 
 
-def _best(own: Column, number: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
-    """The best template of one unit as (dice, -number, licence), or null."""
-    known = [(name, bigrams_of(text)) for name, text in templates]
-    table = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(len(b)).alias("b"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in known])
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    near = F.filter(table, lambda t: (t["b"] >= F.size(own) * low) & (t["b"] <= F.size(own) * high))
-    scored = F.transform(
-        near, lambda t: F.struct((2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["b"])).alias("dice"), (-number).alias("unit"), t["licence"].alias("licence"))
-    )
-    return F.array_max(F.filter(scored, lambda s: s["dice"] >= threshold))
+def _among(bigrams: list[str]) -> str:
+    """SQL list of bigrams, which hold letters, digits and one space alone."""
+    return ", ".join(f"'{b}'" for b in bigrams)
+
 
+def _best(t: Template, grams: Column, hits: str) -> Column:
+    """The best passage for a template as (dice, -place, licence, bigrams), or null."""
+    own = F.expr(f"filter({hits}, h -> h.g in ({_among(t.bigrams)}))")
 
-def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """All rows and columns of docs with n_lines, licences (distinct, ascending, joined by commas), licence, dice and
-    licence_line of the best match: line 0 is the whole text, lines count from 1.
+    def passages(own: Column) -> Column:
+        at = lambda i: F.get(own, i)["p"]
+        starts = F.filter(F.transform(own, lambda h, i: F.when((i == 0) | (h["p"] - at(i - 1) > t.gap), i)), lambda i: i.isNotNull())
+        runs = let(starts, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("lo"), (F.coalesce(F.get(s, k + 1), F.size(own)) - 1).alias("hi"))))
+        solid = F.filter(runs, lambda r: r["hi"] - r["lo"] + 1 >= t.run)
+        spans = let(solid, lambda s: F.flatten(F.transform(s, lambda r, k: F.transform(F.slice(s, k + 1, F.lit(t.reach)), lambda e: F.struct(r["lo"].alias("lo"), e["hi"].alias("hi"))))))
+        near = F.filter(spans, lambda x: (at(x["hi"]) - at(x["lo"]) + 1 <= t.longest) & (x["hi"] - x["lo"] + 1 >= t.least))
 
-    Each unit, a line or the whole text, keeps its best template; of equal Dice the later name wins, and of equal units
-    the first.  Null and empty texts have one line and match nothing: no licences (empty), null licence, dice and line.
-    Long texts are read whole.  Columns of docs with the names above are replaced.
+        def scored(x: Column) -> Column:
+            lo, hi = at(x["lo"]), at(x["hi"])
+            a = F.size(F.array_distinct(F.slice(grams, lo + 1, hi - lo + 1)))
+            c = F.size(F.array_distinct(F.transform(F.slice(own, x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda h: h["g"])))
+            return F.struct((2.0 * c / (a + len(t.bigrams))).alias("dice"), (-lo).alias("place"), F.lit(t.licence).alias("licence"), (hi - lo + 1).alias("size"))
+
+        return F.array_max(F.filter(F.transform(near, scored), lambda s: s["dice"] >= t.threshold))
+
+    return let(own, lambda o: F.when(F.size(o) >= t.least, passages(o)))
+
+
+def scan(docs: DataFrame, text_col: str = "text", known: list[Template] | None = None) -> DataFrame:
+    """All rows and columns of docs with licences (distinct names, ascending, joined by commas), and licence, dice,
+    licence_place and licence_bigrams of the best passage: its first word, from 0, and its length.
+
+    Each template keeps its best passage, of equal Dice the first; over all templates the greatest Dice wins, of equal ones
+    the first passage, then the later name.  Null and empty texts, and texts of one word, match nothing: no licences (empty)
+    and nulls.  Long texts are read whole; repeated rows are answered alike; no rows give no rows.  Columns of docs with the
+    names above are replaced; others may have any names.
     """
-    found = let(
-        F.split(normalised(F.coalesce(docs[text_col], F.lit(""))), "\n"),
-        lambda lines: F.struct(
-            F.size(lines).alias("n"),
-            F.filter(
-                F.transform(
-                    F.concat(F.array(F.array_join(lines, "\n")), lines), lambda unit, i: let(bigrams(unit), lambda own: _best(own, i, templates, threshold))
-                ),
-                lambda m: m.isNotNull(),
-            ).alias("matches"),
-        ),
-    )
-    out = docs.withColumn("_found", found)
-    best = F.array_max("_found.matches")
-    return out.withColumns(
-        {
-            "n_lines": F.col("_found.n"),
-            "licences": F.array_join(F.array_sort(F.array_distinct(F.transform("_found.matches", lambda m: m["licence"]))), ","),
-            "licence": best["licence"],
-            "dice": best["dice"],
-            "licence_line": -best["unit"],
-        }
-    ).drop("_found")
+    known = templates() if known is None else known
+    docs = docs.drop("licences", "licence", "dice", "licence_place", "licence_bigrams")
+    grams, hits, found = (unused(docs.columns, c) for c in ("licence_grams", "licence_hits", "licence_found"))
+    every = _among(sorted({b for t in known for b in t.bigrams}))
+    out = docs.withColumn(grams, bigrams(F.coalesce(docs[text_col], F.lit(""))))
+    out = out.withColumn(hits, F.expr(f"filter(transform({grams}, (g, i) -> struct(g as g, i as p)), h -> h.g in ({every}))"))
+    matches = F.filter(F.array(*[_best(t, F.col(grams), hits) for t in known]), lambda m: m.isNotNull())
+    out = out.withColumn(found, matches)
+    best = F.array_max(found)
+    return out.select(
+        *docs.columns, F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["licence"]))), ",").alias("licences"), best["licence"].alias("licence"),
+        best["dice"].alias("dice"), (-best["place"]).alias("licence_place"), best["size"].alias("licence_bigrams"),
+    )
