@@ -21,9 +21,10 @@ def plain(vectors, k=5):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_top_k(spark, monkeypatch, block):
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("sizes", [(2048, 512, 8), (40, 3, 2)])
+def test_top_k(spark, monkeypatch, sizes):
+    for name, size in zip(("CANDIDATES", "QUERIES", "TOGETHER"), sizes, strict=True):
+        monkeypatch.setattr(topk_search, name, size)
     rng = np.random.RandomState(2)
     rows = [(i, rng.randn(8).tolist()) for i in range(400)]
     rows += [(i, [0.5] * 8) for i in range(400, 520)] + [(i, [0.0] * 8) for i in range(520, 551)]
@@ -33,6 +34,19 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == plain(rows)
 
 
+def test_very_large_components(spark):
+    rng = np.random.RandomState(3)
+    rows = [(i, rng.randn(6).tolist()) for i in range(120)] + [(200 + i, (rng.randn(6) * 1e7).tolist()) for i in range(4)] + [(300, [1e300, 0.0, 0.0, 0.0, 0.0, 0.0]), (301, [-1e306] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, df.where("vec_id % 50 = 0"), Workspace(spark, "test")).collect()
+    whole = {i: [int(math.floor(256 * x)) for x in v] for i, v in rows if i != 301}  # 256 * 1e306 is not finite
+    want = []
+    for q in sorted(i for i in whole if i % 50 == 0):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == want
+
+
 def test_few_candidates(spark):
     rows = [(0, [-1.0, 2.0]), (50, [-1.0, 2.0]), (3, [1.0, -5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
