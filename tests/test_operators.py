@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,32 @@ def test_top_rank_ties(spark):
     assert sorted(r["k"] for r in windows.top_rank(df, "v", 2).collect()) == [0, 1, 2]
 
 
+def test_top_rank_of_a_ten_way_tie_and_fewer_rows(spark):
+    df = spark.createDataFrame([(k, 3 if k < 10 else 5) for k in range(12)], "k long, v long")
+    assert sorted((r["k"], r["rank"]) for r in windows.top_rank(df, "v", 3).collect()) == [(k, 3) for k in range(10)] + [(10, 1), (11, 1)]
+    assert windows.top_rank(df, "v", 50).count() == 12 and windows.top_rank(df.limit(0), "v", 3).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 4])
+def test_collapse_against_a_plain_fold(spark, monkeypatch, stretch):
+    monkeypatch.setattr(windows, "STRETCH", stretch)
+    rng = random.Random(7)
+    rows = [(w, rng.choice(["Parked", "Activation"]), rng.choice([None, 9007199254740993]), 10 * n + rng.randint(0, 9), rng.randint(0, 25), n, 1) for w in (0, 1) for n in range(60)]
+    df = spark.createDataFrame(rows, "worker long, kind string, ref_id long, start_ns long, duration_ns long, seq long, collapsed_events long").repartition(3)
+    want = []
+    for w in (0, 1):
+        state = None
+        for row in sorted((r for r in rows if r[0] == w), key=lambda r: r[5]):
+            if state and state[1:3] == list(row[1:3]) and max(0, state[3] - 3) <= row[3] + row[4] and state[3] + state[4] + 3 >= row[3]:
+                state[4] += row[4]
+                state[5] += 1
+            else:
+                state = [*row[:5], 1]
+                want.append(state)
+    got = [[r[c] for c in ("worker", "kind", "ref_id", "start_ns", "duration_ns", "collapsed_events")] for r in windows.collapse_events(df, margin=3).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[5] > 1 for r in got)
+
+
 def test_iterate_reaches_all(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "a long, b long")
     seed = spark.createDataFrame([(1,)], "n long")
@@ -50,6 +78,10 @@ def test_crossing_closure_against_fixed_point(spark):
     chans = [(10, [1], 2, 1), (11, [1, 1], 0, 1), (12, [1, 1, 1], 0, 1), (13, [1, 1, 1], 1, 0), (14, [1, 1], 1, 0), (15, [1], 1, 2), (16, [1, 1], 1, 2)]
     rows = [{"kind": "Operates", "id": i, "addr": a, "name": str(i), "time_ns": 0} for i, a in ops]
     rows += [{"kind": "Channels", "id": i, "addr": a, "source_op": s, "source_port": 0, "target_op": t, "target_port": 0, "time_ns": 0} for i, a, s, t in chans]
+    # sessions may bound recursive queries; nothing here is one
+    limits = {"spark.sql.cteRecursionRowLimit": "3", "spark.sql.cteRecursionLevelLimit": "1"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
     t = Trace(log(spark, rows))
     base = [(i, tuple(a + [s]), tuple(a + [d])) for i, a, s, d in chans]
     links = {(s, d, (i,)) for i, s, d in base}
@@ -62,6 +94,8 @@ def test_crossing_closure_against_fixed_point(spark):
     scopes = {(1,), (1, 1), (1, 1, 1)}
     want = {(p[0], s, d) for s, d, p in links if len(p) > 1 and d not in scopes}
     got = {(r["channel"], tuple(r["source_addr"]), tuple(r["target_addr"])) for r in t.channels_crossing.collect()}
+    for name in limits:
+        spark.conf.unset(name)
     assert got == want and got
     assert {(r["source_id"], r["target_id"]) for r in t.edges.collect()} >= {(5, 4), (4, 5), (4, 6)}
 

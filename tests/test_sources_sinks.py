@@ -21,8 +21,8 @@ def test_frames_round_trip():
 
 def test_frame_source(spark, tmp_path):
     row = {"seq": 1, "time_ns": 5, "worker": 2, "kind": "Schedule", "id": 7, "is_start": True}
-    (tmp_path / "timely.worker-2.ddshow").write_bytes(frames.encode([frames.progress([(0, 1)]), frames.messages(3, [row])]))
-    (tmp_path / "other.worker-2.ddshow").write_bytes(b"junk")
+    (tmp_path / "timely.worker-2.frames").write_bytes(frames.encode([frames.progress([(0, 1)]), frames.messages(3, [row])]))
+    (tmp_path / "other.worker-2.frames").write_bytes(b"junk")
     found = logs.read_log(spark, [str(tmp_path)], "timely", "frames").select("capability_ns", "time_ns", "worker", "id").collect()
     assert [tuple(r) for r in found] == [(3, 5, 2, 7)]
 

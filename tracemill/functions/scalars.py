@@ -52,15 +52,15 @@ def escape_label(text: Column) -> Column:
     return F.regexp_replace(text, r"\\", r"\\\\\\\\")
 
 
-def source_name(prefix: str, worker: Column, replay: bool = False) -> Column:
+def source_name(prefix: str, worker: Column, replay: bool = False, extension: str = "frames") -> Column:
     """Name of a worker's log file."""
-    return F.concat(F.lit(f"{prefix}.{'replay-' if replay else ''}worker-"), worker.cast("string"), F.lit(".ddshow"))
+    return F.concat(F.lit(f"{prefix}.{'replay-' if replay else ''}worker-"), worker.cast("string"), F.lit(f".{extension}"))
 
 
-def has_prefix(path: Column, prefix: str) -> Column:
+def has_prefix(path: Column, prefix: str, extension: str = "frames") -> Column:
     """Whether a path's file name has the prefix as its first dot segment and the log extension."""
     name = F.element_at(F.split(path, "/"), -1)
-    return (F.element_at(F.split(name, r"\."), 1) == prefix) & name.endswith(".ddshow")
+    return (F.element_at(F.split(name, r"\."), 1) == prefix) & name.endswith(f".{extension}")
 
 
 # -- times -------------------------------------------------------------------------------------------------------------

@@ -19,9 +19,9 @@ def slot(df: DataFrame, by: list[str], opens: Column, time: str = "time_ns", ord
     return paired.where(~F.col("_open") & F.col("_opened")).select(*by, F.col("_start").alias("start_ns"), S.saturating_sub(F.col("_t"), F.col("_start")).alias("duration_ns"))
 
 
-def stack(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq", action: str = "action") -> DataFrame:
-    """(by, start_ns, duration_ns) of rows whose action is start, stop or end (ends all).  Stops without an open start and
-    starts that nothing closes give nothing."""
+def stack(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq", action: str = "action", place: str | None = None) -> DataFrame:
+    """(by, start_ns, duration_ns) of rows whose action is start, stop or end (ends all), with `place` the order of the row
+    that closes, if asked for.  Stops without an open start and starts that nothing closes give nothing."""
     rows = df.select(*by, F.col(time).alias("_t"), F.col(order).alias("_o"), F.col(action).alias("_a"))
     by_key = Window.partitionBy(*by).orderBy("_o")
     ended = F.coalesce(F.sum(F.when(F.col("_a") == "end", 1).otherwise(0)).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -30,12 +30,13 @@ def stack(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq
     running = within.rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("_a") == "start", 1).when(F.col("_a") == "stop", -1).otherwise(0)
     whole = Window.partitionBy(*by, "_epoch")
-    rows = rows.withColumns({"_s": F.sum(step).over(running), "_end": F.max(F.when(F.col("_a") == "end", F.col("_t"))).over(whole)})
+    rows = rows.withColumns({"_s": F.sum(step).over(running), "_end": F.max(F.when(F.col("_a") == "end", F.struct("_t", "_o"))).over(whole)})
     rows = rows.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(running)))
     before = F.coalesce(F.lag("_depth").over(within), F.lit(0))
     rows = rows.withColumn("_level", F.when(F.col("_a") == "start", F.col("_depth")).when(F.col("_a") == "stop", before))
     rows = rows.where("_level > 0")  # neither ends nor stops without a start
     paired = Window.partitionBy(*by, "_epoch", "_level").orderBy("_o")
-    rows = rows.withColumn("_stop", F.when(F.lead("_a").over(paired) == "stop", F.lead("_t").over(paired)))
+    rows = rows.withColumn("_stop", F.when(F.lead("_a").over(paired) == "stop", F.struct(F.lead("_t").over(paired).alias("_t"), F.lead("_o").over(paired).alias("_o"))))
     closed = F.coalesce("_stop", "_end")
-    return rows.where((F.col("_a") == "start") & closed.isNotNull()).select(*by, F.col("_t").alias("start_ns"), S.saturating_sub(closed, F.col("_t")).alias("duration_ns"))
+    found = rows.where((F.col("_a") == "start") & closed.isNotNull())
+    return found.select(*by, F.col("_t").alias("start_ns"), S.saturating_sub(closed["_t"], F.col("_t")).alias("duration_ns"), *([closed["_o"].alias(place)] if place else []))

@@ -1,4 +1,4 @@
-"""Fixed points.  Linear recursion is a recursive CTE; general iteration stores every round in the shared folder."""
+"""Fixed points.  Every round is stored in the shared folder, so no limit of rows or levels applies."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder.  Only a local session may name none (tests): it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -31,9 +33,11 @@ def iterate(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int
     raise RuntimeError(f"no fixed point within {rounds} rounds")
 
 
-def closure(spark: SparkSession, base: DataFrame, columns: str, step: str) -> DataFrame:
-    """Recursive CTE over the view `base`: `columns` are its columns, `step` the recursive branch, which joins the
-    relation `reached` with `base`."""
-    name = f"base_{abs(hash(base.semanticHash()))}"
-    base.createOrReplaceTempView(name)
-    return spark.sql(f"WITH RECURSIVE reached({columns}) AS (SELECT {columns} FROM {name} UNION ALL {step.format(base=name)}) SELECT {columns} FROM reached")
+def unfold(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The seed and all rows that repeated steps lead to, as a bag: each round's rows are stored and are the next one's
+    input, until a round has none.  For steps that end by themselves, such as one scope deeper each."""
+    checkpoint_dir(seed.sparkSession)
+    every = new = seed
+    while not (new := step(new).select(*seed.columns).checkpoint()).isEmpty():
+        every = every.unionByName(new)
+    return every

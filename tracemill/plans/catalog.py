@@ -186,7 +186,7 @@ QUERIES: dict[str, Query] = {
     "aggregated_activations": _on_trace(lambda t: t.aggregated_activations().select("operator", _intervals("activations").alias("activations"))),
     "progress_messages": _progress,
     "reachability_fold": _on(_reachability, "lineitem"),
-    "collapse_events": _on_trace(lambda t: windows.collapse_events(t.engine_timeline.withColumn("seq", F.col("start_ns")), order="seq")),
+    "collapse_events": _on_trace(lambda t: windows.collapse_events(t.placed_timeline)),
     "vega_nodes": _on_trace(_vega),
     "html_nodes": _on_trace(A.html_nodes),
     "html_nodes_stats": _on_trace(lambda t: A.html_nodes(t).select("operator", "addr", "name", "activations", "total_ns", "max_size", "min_size", "batches")),
@@ -221,7 +221,7 @@ QUERIES: dict[str, Query] = {
         "orders", "customer",
     ),
     "semi_join": _on(lambda d, o: joins.semi_join(d, o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]).select("l_orderkey", "l_linenumber"), "lineitem", "orders"),
-    "anti_join": _on(lambda c, o: joins.anti_join(c, o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey"), "customer", "orders"),
+    "anti_join": _on(lambda c, o: joins.anti_join(c, o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey"), "customer", "orders"),
     "left_outer_default": _on(lambda c, o: joins.outer_default(c.select("c_custkey"), _counts(o), ["c_custkey"], n=F.lit(0).cast("bigint")), "customer", "orders"),
     "prefix_join": _on_trace(lambda t: _addr(joins.prefix_join(t.operator_addrs, "addr", t.subgraphs.withColumnRenamed("addr", "ancestor"), "ancestor"), "addr", "ancestor")),
     "union_all": _on(lambda s, c: setops.concat(s.select(F.col("s_nationkey").alias("k")), c.select(F.col("c_nationkey").alias("k"))), "supplier", "customer"),

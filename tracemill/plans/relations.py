@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill import schemas
@@ -71,8 +71,7 @@ class Trace:
         return pairing.slot(rows, ["worker", "operator"], (F.col("kind") == "Schedule") & F.col("is_start"))
 
     @cached_property
-    def engine_timeline(self) -> DataFrame:
-        """Stacked intervals of the engine log's seven kinds; a shutdown ends its operator's activations."""
+    def _engine_intervals(self) -> DataFrame:
         kind = (
             F.when(F.col("kind").isin("Schedule", "Shutdown"), "Activation").when(F.col("kind") == "Application", "Application").when(F.col("kind") == "GuardedMessage", "Message")
             .when(F.col("kind") == "GuardedProgress", "Progress").when(F.col("kind") == "Input", "Input").when(F.col("kind") == "Park", "Parked")
@@ -81,22 +80,36 @@ class Trace:
         rows = self.timely.withColumn("event", kind).where("event is not null").select(
             "seq", "time_ns", "worker", F.col("event").alias("kind"), F.when(F.col("event").isin("Activation", "Application"), F.col("id")).alias("ref_id"), action.alias("action")
         )
-        return pairing.stack(rows, ["worker", "kind", "ref_id"]).withColumn("collapsed_events", F.lit(1).cast("bigint"))
+        return pairing.stack(rows, ["worker", "kind", "ref_id"], place="seq").withColumn("collapsed_events", F.lit(1).cast("bigint"))
 
     @cached_property
-    def merge_timeline(self) -> DataFrame:
-        """Stacked merges; a shortfall stops one, a drop ends all of its operator."""
+    def _merge_intervals(self) -> DataFrame:
         action = (
             F.when(F.col("kind") == "Drop", "end").when((F.col("kind") == "Merge") & F.col("complete").isNull(), "start").otherwise("stop")
         )
         rows = self._arranged.where("kind in ('Merge', 'MergeShortfall', 'Drop')").select("seq", "time_ns", "worker", F.lit("Merge").alias("kind"), F.col("operator").alias("ref_id"), action.alias("action"))
-        return pairing.stack(rows, ["worker", "kind", "ref_id"]).withColumn("collapsed_events", F.lit(1).cast("bigint"))
+        return pairing.stack(rows, ["worker", "kind", "ref_id"], place="seq").withColumn("collapsed_events", F.lit(1).cast("bigint"))
 
     @cached_property
-    def timeline_events(self) -> DataFrame:
+    def engine_timeline(self) -> DataFrame:
+        """Stacked intervals of the engine log's seven kinds; a shutdown ends its operator's activations."""
+        return self._engine_intervals.drop("seq")
+
+    @cached_property
+    def merge_timeline(self) -> DataFrame:
+        """Stacked merges; a shortfall stops one, a drop ends all of its operator."""
+        return self._merge_intervals.drop("seq")
+
+    @cached_property
+    def placed_timeline(self) -> DataFrame:
+        """All intervals with seq, the arrival of the row that closes each: the order in which they become known."""
         if self.disable_timeline:
-            return self.spark.createDataFrame([], schemas.struct(schemas.TIMELINE))
-        return setops.concat(self.engine_timeline, None if self.differential is None else self.merge_timeline)
+            return self.spark.createDataFrame([], schemas.struct(f"{schemas.TIMELINE}, seq BIGINT")).select("worker", "kind", "ref_id", "start_ns", "duration_ns", "seq", "collapsed_events")
+        return setops.concat(self._engine_intervals, None if self.differential is None else self._merge_intervals)
+
+    @cached_property
+    def timeline_events(self) -> DataFrame:
+        return self.placed_timeline.drop("seq")
 
     # -- statistics ----------------------------------------------------------------------------------------------------
     @cached_property
@@ -190,24 +203,26 @@ class Trace:
         """Channels stitched through the ports of scopes: paths of two segments or more, named by their first.
 
         Going into a scope prolongs the path at its end and coming out of one at its start, so all steps in come first
-        and all steps out after them; each is a linear recursion as deep as scopes nest.
+        and all steps out after them; both take as many rounds as scopes nest, each over that round's paths alone.
         """
+        recursion.checkpoint_dir(self.spark)
         base = self.raw_channels.select(
-            F.col("id").alias("cid"), S.push(F.col("addr"), F.col("source_op")).alias("sa"), F.col("source_port").alias("sp"), S.push(F.col("addr"), F.col("target_op")).alias("ta"), F.col("target_port").alias("tp")
-        )
-        columns = "sa, sp, ta, tp, path"
-        seeds = base.select("sa", "sp", "ta", "tp", F.array("cid").alias("path"))
-        into = recursion.closure(
-            self.spark, seeds, columns,
-            "SELECT r.sa, r.sp, b.ta, b.tp, concat(r.path, b.path) FROM reached r JOIN {base} b ON b.sa = concat(r.ta, array(0L)) AND b.sp = r.tp",
-        )
-        name = f"seeds_{abs(hash(seeds.semanticHash()))}"
-        seeds.createOrReplaceTempView(name)
-        both = recursion.closure(
-            self.spark, into, columns,
-            f"SELECT b.sa, b.sp, r.ta, r.tp, concat(b.path, r.path) FROM reached r JOIN {name} b ON b.ta = concat(r.sa, array(0L)) AND b.tp = r.sp",
-        )
-        found = both.where(F.size("path") >= 2).select(F.col("path")[0].alias("channel"), F.col("sa").alias("source_addr"), F.col("ta").alias("target_addr"))
+            F.col("id").alias("channel"), S.push(F.col("addr"), F.col("source_op")).alias("sa"), F.col("source_port").alias("sp"), S.push(F.col("addr"), F.col("target_op")).alias("ta"),
+            F.col("target_port").alias("tp"), F.lit(1).alias("segments"),
+        ).checkpoint()
+        inward = base.where(F.element_at("sa", -1) == 0).select(F.col("sa").alias("at"), F.col("sp").alias("port"), F.col("ta").alias("to"), F.col("tp").alias("to_port"))
+        outward = base.where(F.element_at("ta", -1) == 0).select(F.col("ta").alias("at"), F.col("tp").alias("port"), F.col("sa").alias("of"), F.col("sp").alias("of_port"), F.col("channel").alias("first"))
+
+        def deeper(paths: DataFrame) -> DataFrame:
+            met = paths.join(inward, (S.push(F.col("ta"), F.lit(0)) == F.col("at")) & (F.col("tp") == F.col("port")))
+            return met.select("channel", "sa", "sp", F.col("to").alias("ta"), F.col("to_port").alias("tp"), (F.col("segments") + 1).alias("segments"))
+
+        def outer(paths: DataFrame) -> DataFrame:
+            met = paths.join(outward, (S.push(F.col("sa"), F.lit(0)) == F.col("at")) & (F.col("sp") == F.col("port")))
+            return met.select(F.col("first").alias("channel"), F.col("of").alias("sa"), F.col("of_port").alias("sp"), "ta", "tp", (F.col("segments") + 1).alias("segments"))
+
+        both = recursion.unfold(recursion.unfold(base, deeper), outer)
+        found = both.where("segments >= 2").select("channel", F.col("sa").alias("source_addr"), F.col("ta").alias("target_addr"))
         return joins.anti_join(found, self.subgraphs.withColumnRenamed("addr", "target_addr"), ["target_addr"]).select("channel", "source_addr", "target_addr").distinct()
 
     @cached_property
@@ -291,6 +306,3 @@ def by_worker_order(lookup: DataFrame, value: str) -> DataFrame:
     """Of each operator, the value that the first worker having it gives."""
     return lookup.groupBy("operator").agg(F.min_by(value, "worker").alias(value))
 
-
-def count_of(df: DataFrame, name: str) -> Column:
-    return F.lit(df.count()).alias(name)

@@ -3,6 +3,8 @@
 PRELUDE defines the projected logs; each query is a WITH RECURSIVE statement on top of it.
 """
 
+from tracemill.functions.scalars import EVENT_MARGIN_NS
+
 PRELUDE = """
 operates AS (
   SELECT worker, id, addr, name FROM (SELECT unnest(range(4))::BIGINT AS worker), (
@@ -78,12 +80,14 @@ def stack(name: str, source: str) -> str:
     return f"""{name}_1 AS (SELECT *, coalesce(sum((a = 'end')::INT) OVER (PARTITION BY worker, ref ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM {source}),
 {name}_2 AS (
   SELECT *, sum(CASE a WHEN 'start' THEN 1 WHEN 'stop' THEN -1 ELSE 0 END) OVER (PARTITION BY worker, ref, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s,
-    max(CASE WHEN a = 'end' THEN t END) OVER (PARTITION BY worker, ref, epoch) AS ended FROM {name}_1),
+    max(CASE WHEN a = 'end' THEN t END) OVER (PARTITION BY worker, ref, epoch) AS ended,
+    max(CASE WHEN a = 'end' THEN seq END) OVER (PARTITION BY worker, ref, epoch) AS end_seq FROM {name}_1),
 {name}_3 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY worker, ref, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS depth FROM {name}_2),
 {name}_4 AS (SELECT *, CASE a WHEN 'start' THEN depth WHEN 'stop' THEN coalesce(lag(depth) OVER (PARTITION BY worker, ref, epoch ORDER BY seq), 0) END AS level FROM {name}_3),
-{name}_5 AS (SELECT *, lead(t) OVER w AS nt, lead(a) OVER w AS na FROM {name}_4 WHERE level > 0 WINDOW w AS (PARTITION BY worker, ref, epoch, level ORDER BY seq)),
+{name}_5 AS (SELECT *, lead(t) OVER w AS nt, lead(a) OVER w AS na, lead(seq) OVER w AS nseq FROM {name}_4 WHERE level > 0 WINDOW w AS (PARTITION BY worker, ref, epoch, level ORDER BY seq)),
 {name} AS (
-  SELECT worker, ref AS ref_id, t AS start_ns, greatest(0, coalesce(CASE WHEN na = 'stop' THEN nt END, ended) - t) AS duration_ns FROM {name}_5
+  SELECT worker, ref AS ref_id, t AS start_ns, greatest(0, coalesce(CASE WHEN na = 'stop' THEN nt END, ended) - t) AS duration_ns,
+    CASE WHEN na = 'stop' THEN nseq ELSE end_seq END AS closed FROM {name}_5
   WHERE a = 'start' AND coalesce(CASE WHEN na = 'stop' THEN nt END, ended) IS NOT NULL)"""
 
 
@@ -110,6 +114,19 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orde
         "SELECT worker, 'Activation' AS kind, ref_id, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM active_line UNION ALL "
         "SELECT worker, 'Merge', ref_id, start_ns, duration_ns, 1 FROM merge_line", _ACTIVE + ", " + _MERGES,
     ),
+    "collapse_events": query(
+        """SELECT worker, kind, ref_id, start_ns, max(duration) AS duration_ns, max(events)::BIGINT AS collapsed_events FROM fold GROUP BY worker, kind, ref_id, start_ns, opened""",
+        _ACTIVE + ", " + _MERGES + """,
+known AS (SELECT worker, 'Activation' AS kind, ref_id, start_ns, duration_ns, closed FROM active_line UNION ALL SELECT worker, 'Merge', ref_id, start_ns, duration_ns, closed FROM merge_line),
+turn AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY closed, start_ns, kind, ref_id, duration_ns) AS n FROM known),
+fold(worker, n, kind, ref_id, start_ns, duration, events, opened) AS (
+  SELECT worker, n, kind, ref_id, start_ns, duration_ns, 1, n FROM turn WHERE n = 1
+  UNION ALL
+  SELECT t.worker, t.n, t.kind, t.ref_id, CASE WHEN joins THEN f.start_ns ELSE t.start_ns END, CASE WHEN joins THEN f.duration + t.duration_ns ELSE t.duration_ns END,
+    CASE WHEN joins THEN f.events + 1 ELSE 1 END, CASE WHEN joins THEN f.opened ELSE t.n END
+  FROM fold f JOIN turn t ON t.worker = f.worker AND t.n = f.n + 1, LATERAL (SELECT f.kind = t.kind AND f.ref_id = t.ref_id
+    AND greatest(0, f.start_ns - MARGIN) <= t.start_ns + t.duration_ns AND f.start_ns + f.duration + MARGIN >= t.start_ns AS joins))""".replace("MARGIN", str(EVENT_MARGIN_NS)),
+    ),
     "operator_summation": query("SELECT * FROM summ"),
     "aggregated_summation": query("SELECT * FROM agg"),
     "arrangement_stats": query("SELECT * FROM arr"),
@@ -247,7 +264,7 @@ FROM p""",
     "join_map": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "join_where": "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > c_acctbal",
     "semi_join": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
-    "anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "left_outer_default": "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey",
     "prefix_join": query(f"SELECT DISTINCT {text('s.addr')} AS ancestor, {text('o.addr')} AS addr FROM ops o JOIN scope s ON len(o.addr) > len(s.addr) AND o.addr[1:len(s.addr)] = s.addr"),
     "union_all": "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer",
@@ -276,5 +293,11 @@ FROM p""",
         "SELECT worker, operator, max(size) AS max_size, min(size) AS min_size, sum(size)::BIGINT AS total, count(*) AS count FROM dif WHERE e = 'purchase' GROUP BY 1, 2"
     ),
     "stream_total_runtime": query("SELECT worker, min(t) AS start_ns, max(t) AS end_ns FROM ev GROUP BY 1"),
+    "stream_session": query(
+        """SELECT worker, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS events FROM (
+  SELECT worker, ts, sum(opens) OVER (PARTITION BY worker ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM (
+    SELECT worker, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY worker ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM ev)) GROUP BY worker, n"""
+    ),
+    "stream_late": query("SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS events FROM ev GROUP BY 1"),
     "stream_tumbling": query("SELECT worker, (t // 5000000 + 1) * 5000000 AS bucket_ns, count(*) AS events FROM ev GROUP BY 1, 2"),
 }

@@ -16,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 ALIGN = 16
+#: Extension of archive files, unless the reader is told another (option `extension`).
+EXTENSION = "frames"
 
 
 def encode(frames: list[dict]) -> bytes:
@@ -58,21 +60,22 @@ class _File(InputPartition):
         super().__init__(path)
 
 
-def _listed(path: str, kind: str) -> list[str]:
+def _listed(path: str, kind: str, extension: str) -> list[str]:
     store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     prefix = path.split("://", 1)[0] + "://" if "://" in path else "file://"
     found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and PurePosixPath(f.path).name.split(".")[0] == kind and f.path.endswith(".ddshow"))
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and PurePosixPath(f.path).name.split(".")[0] == kind and f.path.endswith(f".{extension}"))
 
 
 class FrameReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names = [f.name for f in schema.fields]
         self.paths, self.kind = options["path"].split(","), options.get("kind", "timely")
+        self.extension = options.get("extension", EXTENSION)
 
     def partitions(self):
         """A file is a partition, as frames can only be followed from a file's start."""
-        return [_File(f) for p in self.paths for f in _listed(p, self.kind)] or [_File("")]
+        return [_File(f) for p in self.paths for f in _listed(p, self.kind, self.extension)] or [_File("")]
 
     def read(self, partition):
         if not partition.value:

@@ -13,8 +13,8 @@ from pathlib import Path
 from tracemill.sources import frames
 
 
-def log_path(directory: str | Path, kind: str, worker: int, replay: bool = False) -> Path:
-    return Path(directory) / f"{kind}.{'replay-' if replay else ''}worker-{worker}.ddshow"
+def log_path(directory: str | Path, kind: str, worker: int, replay: bool = False, extension: str = frames.EXTENSION) -> Path:
+    return Path(directory) / f"{kind}.{'replay-' if replay else ''}worker-{worker}.{extension}"
 
 
 class TraceLogger:
