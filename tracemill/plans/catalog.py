@@ -27,6 +27,10 @@ def _on_trace(f: Callable[[Trace], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(P.trace(spark, sf_dir))
 
 
+def _on_dense(f: Callable[[Trace], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(P.dense_trace(spark, sf_dir))
+
+
 def _on(f: Callable[..., DataFrame], *tables: str) -> Query:
     return lambda spark, sf_dir: f(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
@@ -57,6 +61,8 @@ def _vega(t: Trace) -> DataFrame:
     return _addr(A.vega_nodes(t)).select(
         "operator", "name", "addr", F.col("count").alias("activations"), "total_ns", "average_ns", "max_ns", "min_ns", "max_size", "min_size", "batches", "node_kind",
         F.size("per_worker").cast("bigint").alias("workers"), F.size("activation_durations").cast("bigint").alias("durations"),
+        F.array_join(F.transform("per_worker", lambda w: F.concat_ws("/", w["worker"].cast("string"), *[w["stats"][c].cast("string") for c in ("count", "total_ns", "max_size", "batches")])), ";").alias("per_worker"),
+        _intervals("activation_durations").alias("activation_durations"),
     )
 
 
@@ -137,9 +143,9 @@ QUERIES: dict[str, Query] = {
     "operators_by_total_runtime": _on_trace(A.operators_by_total_runtime),
     "activations": _on_trace(lambda t: t.activations),
     "lifespans": _lifespans,
-    "timeline_events": _on_trace(lambda t: t.engine_timeline),
-    "merge_timeline": _on_trace(lambda t: t.merge_timeline),
-    "worker_timeline": _on_trace(lambda t: t.timeline_events),
+    "timeline_events": _on_dense(lambda t: t.engine_timeline),
+    "merge_timeline": _on_dense(lambda t: t.merge_timeline),
+    "worker_timeline": _on_dense(lambda t: t.timeline_events),
     "operator_summation": _on_trace(lambda t: t.summarized),
     "aggregated_summation": _on_trace(lambda t: t.aggregated_summaries),
     "arrangement_stats": _on_trace(lambda t: t.arrangements),
@@ -154,7 +160,7 @@ QUERIES: dict[str, Query] = {
     "subgraph_ids": _on_trace(lambda t: t.subgraph_ids),
     "nodes": _on_trace(lambda t: _addr(t.nodes)),
     "raw_operators": _on_trace(lambda t: _addr(t.raw_operators)),
-    "raw_channels": _on_trace(lambda t: _addr(t.raw_channels)),
+    "raw_channels": _on_dense(lambda t: _addr(t.raw_channels)),
     "channel_scopes": _on_trace(lambda t: _addr(t.channel_scopes)),
     "dataflow_ids": _on_trace(lambda t: t.dataflow_ids),
     "addr_ids": _on_trace(lambda t: _addr(t.addr_ids)),
@@ -171,10 +177,14 @@ QUERIES: dict[str, Query] = {
     "rewired_channels": _on_trace(lambda t: _addr(t.channels, *_ENDS)),
     "edges": _on_trace(lambda t: _addr(t.edges, *_ENDS)),
     "html_edges": _on_trace(A.html_edges),
-    "graph_orphans": _on_trace(lambda t: _addr(A.graph_orphans(t))),
-    "pruned_edges": _on_trace(lambda t: _addr(A.pruned_edges(t), *_ENDS)),
-    "operator_shapes": _on_trace(lambda t: _addr(t.operator_shapes, "addr", "inputs", "outputs")),
-    "dataflow_stats": _on_trace(lambda t: _addr(t.dataflow_stats(outer=True))),
+    "graph_orphans": _on_dense(lambda t: _addr(A.graph_orphans(t))),
+    "pruned_edges": _on_dense(lambda t: _addr(A.pruned_edges(t), *_ENDS)),
+    "operator_shapes": _on_dense(lambda t: _addr(t.operator_shapes, "addr", "inputs", "outputs")),
+    "dataflow_stats": _on_dense(lambda t: _addr(t.dataflow_stats())),
+    "dataflow_stats_outer": _on_trace(lambda t: _addr(t.dataflow_stats(outer=True))),
+    "dense_activations": _on_dense(lambda t: t.activations),
+    "dense_lifespans": _on_dense(lambda t: t.lifespans),
+    "dense_edges": _on_dense(lambda t: _addr(t.edges, *_ENDS)),
     "topk_runtime": _on_trace(A.top_runtime),
     "topk_arrangement": _on_trace(A.top_arrangement),
     "topk_batches": _on_trace(A.top_batches),
@@ -187,10 +197,11 @@ QUERIES: dict[str, Query] = {
     "progress_messages": _progress,
     "reachability_fold": _on(_reachability, "lineitem"),
     "collapse_events": _on_trace(lambda t: windows.collapse_events(t.placed_timeline)),
-    "vega_nodes": _on_trace(_vega),
+    "vega_nodes": _on_dense(_vega),
     "html_nodes": _on_trace(A.html_nodes),
     "html_nodes_stats": _on_trace(lambda t: A.html_nodes(t).select("operator", "addr", "name", "activations", "total_ns", "max_size", "min_size", "batches")),
-    "html_subgraphs": _on_trace(A.html_subgraphs),
+    "html_subgraphs": _on_dense(A.html_subgraphs),
+    "palette_sample": lambda spark, sf_dir: A.palette_sample(spark),
     "heat_position": _on_trace(_heat),
     "luminance": _on(_luminance, "part"),
     "granulate_5ms": _on(_granulated, "events"),

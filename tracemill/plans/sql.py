@@ -3,7 +3,7 @@
 PRELUDE defines the projected logs; each query is a WITH RECURSIVE statement on top of it.
 """
 
-from tracemill.functions.scalars import EVENT_MARGIN_NS
+from tracemill.functions.scalars import DARK_TEXT, EVENT_MARGIN_NS, LIGHT_TEXT, LUMINANCE, LUMINANCE_THRESHOLD, PALETTES
 
 PRELUDE = """
 operates AS (
@@ -66,6 +66,32 @@ shape AS (
 """
 
 
+#: The dense projection: PRELUDE with other operators, ports and events.
+DENSE = PRELUDE
+for _old, _new in (
+    ("n_name FROM nation\n", "n_name FROM nation WHERE n_nationkey % 5 <> 3\n"),
+    ("base AS (SELECT id AS cid, addr || [source_op] AS sa, addr || [target_op] AS ta FROM chan)", "base AS (SELECT id AS cid, addr || [source_op] AS sa, id % 3 AS sp, addr || [target_op] AS ta, id % 2 AS tp FROM chan)"),
+    ("into_(sa, ta, path)", "into_(sa, sp, ta, tp, path)"), ("SELECT sa, ta, [cid] FROM base", "SELECT sa, sp, ta, tp, [cid] FROM base"),
+    ("SELECT r.sa, b.ta, r.path || [b.cid] FROM into_ r JOIN base b ON b.sa = r.ta || [0::BIGINT]", "SELECT r.sa, r.sp, b.ta, b.tp, r.path || [b.cid] FROM into_ r JOIN base b ON b.sa = r.ta || [0::BIGINT] AND b.sp = r.tp"),
+    ("both_(sa, ta, path)", "both_(sa, sp, ta, tp, path)"), ("SELECT sa, ta, path FROM into_", "SELECT sa, sp, ta, tp, path FROM into_"),
+    ("SELECT b.sa, r.ta, [b.cid] || r.path FROM both_ r JOIN base b ON b.ta = r.sa || [0::BIGINT]", "SELECT b.sa, b.sp, r.ta, r.tp, [b.cid] || r.path FROM both_ r JOIN base b ON b.ta = r.sa || [0::BIGINT] AND b.tp = r.sp"),
+    ("slot AS (\n  SELECT worker, operator, e, t, lag(t) OVER w AS pt, lag(e) OVER w AS pe FROM ev WHERE e IN ('view', 'signup', 'click', 'error')\n",
+     """sched AS (
+  SELECT seq, t, worker, operator, e IN ('view', 'signup') AS opens, e = 'error' AS ends FROM ev WHERE e <> 'purchase'
+  UNION ALL SELECT seq, t, worker, 100 + (operator - 1000) % 25, seq % 2 = 0, false FROM ev WHERE e = 'purchase'
+  UNION ALL SELECT seq, t, worker, 1 + (operator - 1000) % 5, false, true FROM ev WHERE e = 'error'),
+life AS (
+  SELECT worker, operator, 0::BIGINT AS birth_ns, greatest(0, arg_min(t, seq))::BIGINT AS death_ns FROM sched JOIN operates USING (worker) WHERE ends AND id = operator GROUP BY 1, 2),
+slot AS (
+  SELECT worker, operator, opens, t, lag(t) OVER w AS pt, lag(opens) OVER w AS pe FROM sched
+"""),
+    ("FROM slot WHERE e IN ('click', 'error') AND pe IN ('view', 'signup')", "FROM slot WHERE NOT opens AND pe"),
+):
+    if _old not in DENSE:
+        raise ValueError(_old)
+    DENSE = DENSE.replace(_old, _new)
+
+
 def text(array: str) -> str:
     """An array of numbers as `[1, 2, 3]`."""
     return f"('[' || array_to_string({array}, ', ') || ']')"
@@ -75,20 +101,23 @@ def query(body: str, extra: str = "") -> str:
     return f"WITH RECURSIVE {PRELUDE.strip()}{', ' + extra if extra else ''}\n{body}"
 
 
+def dense(body: str, extra: str = "") -> str:
+    """A statement on the dense projection."""
+    return f"WITH RECURSIVE {DENSE.strip()}{', ' + extra if extra else ''}\n{body}"
+
+
 def stack(name: str, source: str) -> str:
-    """LIFO pairing of source (worker, ref, seq, t, a in start, stop, end) as a chain of windows; result table `name`."""
-    return f"""{name}_1 AS (SELECT *, coalesce(sum((a = 'end')::INT) OVER (PARTITION BY worker, ref ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM {source}),
-{name}_2 AS (
-  SELECT *, sum(CASE a WHEN 'start' THEN 1 WHEN 'stop' THEN -1 ELSE 0 END) OVER (PARTITION BY worker, ref, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s,
-    max(CASE WHEN a = 'end' THEN t END) OVER (PARTITION BY worker, ref, epoch) AS ended,
-    max(CASE WHEN a = 'end' THEN seq END) OVER (PARTITION BY worker, ref, epoch) AS end_seq FROM {name}_1),
-{name}_3 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY worker, ref, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS depth FROM {name}_2),
-{name}_4 AS (SELECT *, CASE a WHEN 'start' THEN depth WHEN 'stop' THEN coalesce(lag(depth) OVER (PARTITION BY worker, ref, epoch ORDER BY seq), 0) END AS level FROM {name}_3),
-{name}_5 AS (SELECT *, lead(t) OVER w AS nt, lead(a) OVER w AS na, lead(seq) OVER w AS nseq FROM {name}_4 WHERE level > 0 WINDOW w AS (PARTITION BY worker, ref, epoch, level ORDER BY seq)),
-{name} AS (
-  SELECT worker, ref AS ref_id, t AS start_ns, greatest(0, coalesce(CASE WHEN na = 'stop' THEN nt END, ended) - t) AS duration_ns,
-    CASE WHEN na = 'stop' THEN nseq ELSE end_seq END AS closed FROM {name}_5
-  WHERE a = 'start' AND coalesce(CASE WHEN na = 'stop' THEN nt END, ended) IS NOT NULL)"""
+    """LIFO pairing of source (worker, ref, seq, t, a in start, stop, end) as a fold that carries the open starts; result
+    table `name`."""
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY worker, ref ORDER BY seq) AS n FROM {source}),
+{name}_f(worker, ref, n, seq, t, opened, closed) AS (
+  SELECT worker, ref, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM (SELECT DISTINCT worker, ref FROM {source})
+  UNION ALL
+  SELECT s.worker, s.ref, s.n, s.seq, s.t,
+    CASE s.a WHEN 'start' THEN f.opened || [s.t] WHEN 'stop' THEN f.opened[1:len(f.opened) - 1] ELSE []::BIGINT[] END,
+    CASE s.a WHEN 'start' THEN []::BIGINT[] WHEN 'stop' THEN f.opened[len(f.opened):len(f.opened)] ELSE f.opened END
+  FROM {name}_f f JOIN {name}_n s ON s.worker = f.worker AND s.ref = f.ref AND s.n = f.n + 1),
+{name} AS (SELECT worker, ref AS ref_id, o AS start_ns, greatest(0, t - o) AS duration_ns, seq AS closed FROM (SELECT *, unnest(closed) AS o FROM {name}_f))"""
 
 
 _ACTIVE = (
@@ -99,8 +128,39 @@ _MERGES = (
     "merging AS (SELECT worker, operator AS ref, seq, t, CASE e WHEN 'error' THEN 'end' WHEN 'click' THEN 'stop' ELSE 'start' END AS a FROM dif WHERE e <> 'purchase'), "
     + stack("merge_line", "merging")
 )
+#: All kinds of the dense engine log; a reference is the kind and, if it has one, the number.
+_ALL = (
+    """every AS (
+  SELECT worker, 'Activation:' || operator AS ref, seq, t, CASE WHEN ends THEN 'end' WHEN opens THEN 'start' ELSE 'stop' END AS a FROM sched
+  UNION ALL SELECT worker, ['Application', 'Message', 'Progress', 'Input', 'Parked'][seq % 6] || ':' || CASE WHEN seq % 6 = 1 THEN ((operator - 1000) % 10)::VARCHAR ELSE '' END, seq, t,
+    CASE WHEN e IN ('view', 'signup') THEN 'start' ELSE 'stop' END FROM ev WHERE e <> 'error' AND seq % 6 > 0), """
+    + stack("all_line", "every")
+)
+_KIND_AND_REF = "worker, split_part(ref_id, ':', 1) AS kind, nullif(split_part(ref_id, ':', 2), '')::BIGINT AS ref_id"
+_SHORT = (
+    """shorting AS (
+  SELECT worker, operator AS ref, seq, t, CASE e WHEN 'error' THEN 'end' WHEN 'click' THEN 'stop' ELSE 'start' END AS a FROM dif WHERE e <> 'purchase'
+  UNION ALL SELECT worker, operator, seq, t, 'stop' FROM ev WHERE e = 'view' AND seq % 3 = 0), """
+    + stack("short_line", "shorting")
+)
 _ADDR = text("addr")
 
+
+def colors(position: str, palette: str = "inferno") -> str:
+    """SQL of fill and text colours at a position, from the palette's anchors."""
+    anchors = PALETTES[palette]
+    last = len(anchors) - 1
+    points = [[int(a[k : k + 2], 16) for a in anchors] for k in (1, 3, 5)]
+    x = f"(greatest(0.0, least(1.0, {position})) * {last})"
+    at = f"least(floor({x})::INT, {last - 1})"
+    r, g, b = (f"round({p}[{at} + 1] + ({p}[{at} + 2] - {p}[{at} + 1]) * ({x} - {at}))::INT" for p in points)
+    weights = " + ".join(f"{w} * ({c} / 255.0)" for w, c in zip(LUMINANCE, (r, g, b), strict=True))
+    return f"printf('#%02X%02X%02X', {r}, {g}, {b}) AS fill_color, CASE WHEN {weights} >= {LUMINANCE_THRESHOLD} THEN '{DARK_TEXT}' ELSE '{LIGHT_TEXT}' END AS text_color"
+
+
+def heat(value: str, high: str, low: str) -> str:
+    return f"CASE WHEN {value} > 0 AND {high} > 0 AND {low} > 0 AND {high} <> {low} THEN (log2({value}) - log2({low})) / (log2({high}) - log2({low})) ELSE 0.0 END"
+
 #: Query name: SQL.
 QUERIES = {
     "activations": query("SELECT * FROM act"),
@@ -108,11 +168,10 @@ QUERIES = {
 SELECT o_orderkey % 4 AS worker, o_orderkey AS operator, epoch_us(o_orderdate) * 1000 AS birth_ns,
   epoch_us(o_orderdate) * 1000 + greatest(0, (epoch_us(max(l_shipdate)) - epoch_us(o_orderdate)) * 1000) AS death_ns
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate""",
-    "timeline_events": query("SELECT worker, 'Activation' AS kind, ref_id, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM active_line", _ACTIVE),
-    "merge_timeline": query("SELECT worker, 'Merge' AS kind, ref_id, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM merge_line", _MERGES),
-    "worker_timeline": query(
-        "SELECT worker, 'Activation' AS kind, ref_id, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM active_line UNION ALL "
-        "SELECT worker, 'Merge', ref_id, start_ns, duration_ns, 1 FROM merge_line", _ACTIVE + ", " + _MERGES,
+    "timeline_events": dense(f"SELECT {_KIND_AND_REF}, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM all_line", _ALL),
+    "merge_timeline": dense("SELECT worker, 'Merge' AS kind, ref_id, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM short_line", _SHORT),
+    "worker_timeline": dense(
+        f"SELECT {_KIND_AND_REF}, start_ns, duration_ns, 1::BIGINT AS collapsed_events FROM all_line UNION ALL SELECT worker, 'Merge', ref_id, start_ns, duration_ns, 1 FROM short_line", _ALL + ", " + _SHORT
     ),
     "collapse_events": query(
         """SELECT worker, kind, ref_id, start_ns, max(duration) AS duration_ns, max(events)::BIGINT AS collapsed_events FROM fold GROUP BY worker, kind, ref_id, start_ns, opened""",
@@ -145,7 +204,7 @@ fold(worker, n, kind, ref_id, start_ns, duration, events, opened) AS (
     "subgraph_ids": query("SELECT DISTINCT o.worker, o.id AS operator FROM operates o JOIN scope USING (addr)"),
     "nodes": query(f"SELECT {_ADDR} AS addr, id, name FROM leaf"),
     "raw_operators": query(f"SELECT id, {_ADDR} AS addr, name FROM ops"),
-    "raw_channels": query(f"SELECT id, {_ADDR} AS addr, source_op, 0::BIGINT AS source_port, target_op, 0::BIGINT AS target_port FROM chan"),
+    "raw_channels": dense(f"SELECT id, {_ADDR} AS addr, source_op, id % 3 AS source_port, target_op, id % 2 AS target_port FROM chan"),
     "channel_scopes": query(f"SELECT worker, chan.id AS channel, {text('chan.addr')} AS addr FROM chan, (SELECT unnest(range(4)) AS worker)"),
     "dataflow_ids": query("SELECT worker, id AS operator FROM operates WHERE len(addr) = 1"),
     "addr_ids": query(f"SELECT worker, {_ADDR} AS addr, id AS operator FROM operates"),
@@ -173,17 +232,28 @@ fold(worker, n, kind, ref_id, start_ns, duration, events, opened) AS (
     "rewired_channels": query(f"SELECT channel_kind, channel, {text('source_addr')} AS source_addr, {text('target_addr')} AS target_addr FROM channel"),
     "edges": query(f"SELECT channel_kind, channel, source_id, source_name, target_id, target_name, {text('source_addr')} AS source_addr, {text('target_addr')} AS target_addr FROM edge"),
     "html_edges": query(f"SELECT source_id, target_id, channel, {text('source_addr')} AS source_addr, {text('target_addr')} AS target_addr, channel_kind FROM edge"),
-    "graph_orphans": query(
+    "graph_orphans": dense(
         f"SELECT {_ADDR} AS addr FROM (SELECT addr FROM par WHERE len(addr) > 0 UNION SELECT source_addr FROM channel UNION SELECT target_addr FROM channel) x WHERE addr NOT IN (SELECT addr FROM ops)"
     ),
-    "pruned_edges": query(
+    "pruned_edges": dense(
         f"SELECT channel_kind, channel, source_id, source_name, target_id, target_name, {text('source_addr')} AS source_addr, {text('target_addr')} AS target_addr FROM edge "
         "WHERE source_addr NOT IN (SELECT addr FROM scope) AND target_addr NOT IN (SELECT addr FROM scope)"
     ),
-    "operator_shapes": query(
-        f"SELECT id, {_ADDR} AS addr, CASE WHEN inputs > 0 THEN '[0]' ELSE '[]' END AS inputs, CASE WHEN outputs > 0 THEN '[0]' ELSE '[]' END AS outputs FROM shape"
+    "operator_shapes": dense(
+        f"SELECT id, {_ADDR} AS addr, (SELECT coalesce({text('list_sort(list(DISTINCT tp))')}, '[]') FROM base WHERE ta = addr) AS inputs, "
+        f"(SELECT coalesce({text('list_sort(list(DISTINCT sp))')}, '[]') FROM base WHERE sa = addr) AS outputs FROM ops"
+    ),
+    "dataflow_stats": dense(
+        f"""SELECT * FROM (SELECT id, {_ADDR} AS addr, worker,
+  (SELECT count(*) FROM ops o WHERE len(o.addr) > len(d.addr) AND o.addr[1:len(d.addr)] = d.addr) AS operators,
+  (SELECT count(*) FROM scope o WHERE len(o.addr) > len(d.addr) AND o.addr[1:len(d.addr)] = d.addr) AS subgraphs,
+  (SELECT count(*) FROM chan o WHERE len(o.addr) > len(d.addr) AND o.addr[1:len(d.addr)] = d.addr) AS channels, birth_ns, death_ns
+FROM operates d JOIN life USING (worker) WHERE len(addr) = 1 AND life.operator = id) WHERE operators > 0 AND subgraphs > 0 AND channels > 0"""
     ),
-    "dataflow_stats": query(
+    "dense_activations": dense("SELECT * FROM act"),
+    "dense_lifespans": dense("SELECT * FROM life"),
+    "dense_edges": dense(f"SELECT channel_kind, channel, source_id, source_name, target_id, target_name, {text('source_addr')} AS source_addr, {text('target_addr')} AS target_addr FROM edge"),
+    "dataflow_stats_outer": query(
         f"""SELECT id, {_ADDR} AS addr, worker,
   (SELECT count(*) FROM ops o WHERE len(o.addr) > len(d.addr) AND o.addr[1:len(d.addr)] = d.addr) AS operators,
   (SELECT count(*) FROM scope o WHERE len(o.addr) > len(d.addr) AND o.addr[1:len(d.addr)] = d.addr) AS subgraphs,
@@ -219,11 +289,22 @@ SELECT l_orderkey % 4 AS worker, (1000 + l_suppkey)::BIGINT AS operator, (l_line
     "reachability_fold": """
 SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'SourceUpdate' ELSE 'TargetUpdate' END AS kind, l_suppkey AS node, l_linenumber::BIGINT AS port,
   sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)::BIGINT AS diff FROM lineitem GROUP BY ALL HAVING diff <> 0""",
-    "vega_nodes": query(
-        f"""SELECT g.operator, name, {_ADDR} AS addr, g.count AS activations, g.total_ns, g.average_ns, g.max_ns, g.min_ns, max_size, min_size, batches, 'Node' AS node_kind,
-  (SELECT count(*) FROM summ s WHERE s.operator = g.operator) AS workers, (SELECT count(*) FROM act a WHERE a.operator = g.operator) AS durations
+    "vega_nodes": dense(
+        f"""SELECT g.operator, name, {_ADDR} AS addr, g.count AS activations, g.total_ns, g.average_ns, g.max_ns, g.min_ns, max_size, min_size, batches,
+  CASE WHEN ops.id IN (SELECT id FROM scope) THEN 'Subgraph' ELSE 'Node' END AS node_kind,
+  (SELECT count(*) FROM summ s WHERE s.operator = g.operator) AS workers, (SELECT count(*) FROM act a WHERE a.operator = g.operator) AS durations,
+  (SELECT string_agg(concat_ws('/', s.worker, s.count, s.total_ns, max_size, batches), ';' ORDER BY s.worker) FROM summ s LEFT JOIN arr USING (worker, operator) WHERE s.operator = g.operator) AS per_worker,
+  (SELECT string_agg(start_ns || '+' || duration_ns, ',' ORDER BY start_ns, duration_ns) FROM act a WHERE a.operator = g.operator) AS activation_durations
 FROM agg g JOIN ops ON ops.id = g.operator LEFT JOIN aggarr USING (operator)"""
     ),
+    "html_nodes": query(
+        f"""SELECT s.operator, {_ADDR} AS addr, name, s.count AS activations, s.total_ns, s.max_ns, s.min_ns, s.average_ns, s.count, max_size, min_size, batches, {colors(heat('s.total_ns', 'hi', 'lo'))}
+FROM summ s JOIN leaf ON id = s.operator LEFT JOIN arr USING (worker, operator), (SELECT max(total_ns) AS hi, min(total_ns) AS lo FROM summ) WHERE worker = 0"""
+    ),
+    "html_subgraphs": dense(
+        f"SELECT s.operator, {_ADDR} AS addr, name, s.count, s.total_ns, s.max_ns, s.min_ns, s.average_ns, {colors(heat('s.total_ns', 's.max_ns', 's.min_ns'))} FROM summ s JOIN scope ON id = s.operator WHERE worker = 0"
+    ),
+    "palette_sample": f"SELECT position, fill_color AS color FROM (SELECT i / 10.0::DOUBLE AS position, {colors('i / 10.0::DOUBLE')} FROM range(10) r(i))",
     "html_nodes_stats": query(
         f"""SELECT s.operator, {_ADDR} AS addr, name, s.count AS activations, s.total_ns, max_size, min_size, batches
 FROM summ s JOIN leaf ON id = s.operator LEFT JOIN arr USING (worker, operator) WHERE worker = 0"""

@@ -130,3 +130,35 @@ def trace(spark: SparkSession, sf_dir: str):
     events = event_columns(_table(spark, sf_dir, "events"), supplier_count(spark, sf_dir))
     timely = operates(spark, sf_dir).unionByName(channels(spark, sf_dir)).unionByName(schedule(events))
     return Trace(timely, arrangement_events(events), progress(spark, sf_dir))
+
+
+def dense_schedule(events: DataFrame) -> DataFrame:
+    """What schedule() leaves out: nations scheduled by purchases, regions shut down by errors, and the engine log's other
+    intervals, by the event's number."""
+    own = F.col("operator") - 1000
+    nations = events.where("event = 'purchase'").select("seq", "time_ns", "worker", (100 + own % 25).alias("id"), F.lit("Schedule").alias("kind"), (F.col("seq") % 2 == 0).alias("is_start"))
+    regions = events.where("event = 'error'").select("seq", "time_ns", "worker", (1 + own % 5).alias("id"), F.lit("Shutdown").alias("kind"))
+    kinds = F.array(*map(F.lit, ("Application", "GuardedMessage", "GuardedProgress", "Input", "Park")))
+    kind = F.get(kinds, (F.col("seq") % 6 - 1).cast("int"))
+    others = events.where("event <> 'error' and seq % 6 > 0").select(
+        "seq", "time_ns", "worker", F.when(F.col("seq") % 6 == 1, own % 10).alias("id"), kind.alias("kind"), F.col("event").isin("view", "signup").alias("is_start")
+    )
+    return _as_log(nations, schemas.TIMELY_LOG).unionByName(_as_log(regions, schemas.TIMELY_LOG)).unionByName(_as_log(others, schemas.TIMELY_LOG))
+
+
+def shortfalls(events: DataFrame) -> DataFrame:
+    """Merges that every third view finds short."""
+    rows = events.where("event = 'view' and seq % 3 = 0")
+    return _as_log(rows.select("seq", "time_ns", "worker", F.lit("MergeShortfall").alias("kind"), "operator", F.floor("value").alias("shortfall")), schemas.DIFFERENTIAL_LOG)
+
+
+def dense_trace(spark: SparkSession, sf_dir: str):
+    """trace() with all kinds of events, several ports, scopes that run and end, and a fifth of the nations without an
+    operator of their own."""
+    from tracemill.plans.relations import Trace
+
+    events = event_columns(_table(spark, sf_dir, "events"), supplier_count(spark, sf_dir))
+    there = operates(spark, sf_dir).where("not (id between 100 and 999 and id % 5 = 3)")
+    ports = channels(spark, sf_dir).withColumns({"source_port": F.col("id") % 3, "target_port": F.col("id") % 2})
+    timely = there.unionByName(ports).unionByName(schedule(events)).unionByName(dense_schedule(events))
+    return Trace(timely, arrangement_events(events).unionByName(shortfalls(events)), progress(spark, sf_dir))
