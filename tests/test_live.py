@@ -3,13 +3,17 @@
 import json
 import socket
 import threading
+import time
 
 from pyspark.sql import functions as F
 
 from tests.test_pairing import log
+from tracemill import cli
 from tracemill.functions import events
+from tracemill.functions import scalars as S
 from tracemill.operators import select
-from tracemill.sources import logs, producer
+from tracemill.sources import frames, live, logs, producer
+from tracemill.streaming import gate
 from tracemill.streaming.progress import Status, watermark
 
 
@@ -40,6 +44,43 @@ def test_live_socket_is_recorded(spark, tmp_path):
     assert [tuple(r) for r in found] == [(0, "Input", True), (100_000_000, "Input", False)]
 
 
+def test_listener_takes_so_many_connections_until_they_close(spark, tmp_path):
+    listener = live.Listener("127.0.0.1:0", "timely", str(tmp_path), connections=2)
+    for worker in (0, 1):
+        producer.send(listener.address, [{"seq": k, "time_ns": 10 * k, "worker": worker, "kind": "Input", "is_start": k % 2 == 0} for k in range(50)])
+    assert listener.wait(20)
+    assert logs.read_log(spark, [str(tmp_path)], "timely", "json").groupBy("worker").count().orderBy("worker").collect() == [(0, 50), (1, 50)]
+    waiting = live.Listener("127.0.0.1:0", "timely", str(tmp_path / "none"))
+    assert not waiting.wait(0.3)
+
+
+def test_frames_through_a_listener(spark, tmp_path):
+    listener = live.Listener("127.0.0.1:0", "timely", str(tmp_path), encoding="frames")
+    big = (1 << 63) + 5
+    with socket.create_connection(listener.address) as s:
+        s.sendall(frames.encode([frames.messages(3, [{"seq": 1, "time_ns": 5, "worker": 2, "kind": "Operates", "id": big, "addr": [0, big], "name": "x"}]), frames.progress([(3, -1)])]))
+    assert listener.wait(20)
+    row = logs.read_log(spark, [str(tmp_path)], "timely", "frames").select("id", S.unsigned_id(F.col("id")).alias("wide"), "addr").first()
+    assert int(row["wide"]) == big and row["addr"] == [0, row["id"]] and row["id"] < 0
+
+
+def test_gate_defers_and_drops_nothing(spark, tmp_path):
+    second = 1_000_000_000
+    for n, times in enumerate([[100, 1], [2, 90], [3, 7]]):  # files out of order
+        spark.createDataFrame([(t * second, n) for t in times], "time_ns long, file int").coalesce(1).write.parquet(str(tmp_path / f"in/f{n}"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema("time_ns long, file int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    found = gate.gated(stream).collect()
+    assert sorted(r["time_ns"] // second for r in found) == [1, 2, 3, 7, 90, 100]
+    last = max(r["batch"] for r in found)
+    assert {r["time_ns"] // second for r in found if r["batch"] == last} == {90, 100}
+
+
+def test_command_line_rest(capsys):
+    assert cli.main(["--completions", "bash"]) is None and "--connections" in capsys.readouterr().out
+    assert all("completions" in cli.completions(s) for s in cli.SHELLS)
+
+
 def test_predicates(spark):
     df = log(spark, [{"kind": "Park", "is_start": True, "time_ns": 1, "park_ns": 5}, {"kind": "Park", "is_start": False, "time_ns": 2}, {"kind": "Shutdown", "id": 1, "time_ns": 3}])
     assert (df.where(events.is_park()).count(), df.where(events.is_unpark()).count(), events.of_kind(df, "Shutdown").first()["id"]) == (1, 1, 1)

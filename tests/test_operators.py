@@ -1,9 +1,10 @@
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import aggregates, recursion, windows
+from tracemill.operators import aggregates, recursion, select, windows
 from tracemill.plans.relations import Trace, reachability
 from tests.test_pairing import log
 
@@ -34,6 +35,40 @@ def test_sort_by_and_reduce(spark):
         assert aggregates.hierarchical_reduce(df, ["k"], name, "v", "x").first()["x"] == want
 
 
+def test_hierarchical_sort_is_the_sort(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(-50, 50), rng.choice([1, 1, 2, -1])) for k in (1, 2) for _ in range(400)] + [(3, 7, 1), (3, 7, -1)]
+    df = spark.createDataFrame(rows, "k long, v long, diff long")
+    want = {}
+    for k in (1, 2):
+        times = {v: sum(d for kk, vv, d in rows if (kk, vv) == (k, v)) for v in range(-50, 50)}
+        want[k] = [v for v, n in times.items() for _ in range(max(0, n))]
+    assert {r["k"]: r["x"] for r in aggregates.hierarchical_sort_by(df, ["k"], F.col("v"), "x", F.col("diff")).collect()} == want
+
+
+HELD = [("foobar", 10, 11, -2), ("foo", 10, 10, 10), ("foo", 10, 10, 10463), ("foobar", 10, 11, 5), ("bar", 6, 6, 57), ("bar", 6, 6, -57), ("bar", 6, 6, 57), ("bar", 6, 6, -60), ("baz", 30, 30, 4), ("baz", 30, 30, -4)]
+
+
+@pytest.mark.parametrize(
+    ("dirty", "left"),
+    [
+        (None, {("foobar", 10, 11, 3): 1, ("foo", 10, 10, 10473): 1, ("bar", 6, 6, -3): 1}),
+        ("release_ns = 10", {("foobar", 10, 11, 3): 1, ("foo", 10, 10, 10473): 1, ("bar", 6, 6, 57): 2, ("bar", 6, 6, -57): 1, ("bar", 6, 6, -60): 1, ("baz", 30, 30, 4): 1, ("baz", 30, 30, -4): 1}),
+        ("release_ns = 99", None),
+    ],
+)
+def test_compaction_of_held_changes(spark, dirty, left):
+    df = spark.createDataFrame(HELD, "record string, release_ns long, at long, diff long")
+    found = collections.Counter(tuple(r) for r in aggregates.compact(df, dirty=None if dirty is None else F.expr(dirty)).select("record", "release_ns", "at", "diff").collect())
+    assert found == (collections.Counter(HELD) if left is None else left)
+
+
+def test_hold_and_due(spark):
+    df = spark.createDataFrame([(1, 5), (2, 30)], "n long, t long")
+    out, kept = select.due(select.hold(df, "t", F.lit(20)), F.lit(21))
+    assert [tuple(r) for r in out.collect()] == [(1, 5, 20)] and [tuple(r) for r in kept.collect()] == [(2, 30, 30)]
+
+
 def test_top_rank_ties(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([9, 7, 7, 5, None])], "k long, v long")
     assert sorted(r["k"] for r in windows.top_rank(df, "v", 2).collect()) == [0, 1, 2]

@@ -1,4 +1,5 @@
 import io
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.test_pairing import log
 from tracemill import cli, schemas, sinks
-from tracemill.plans import report
+from tracemill.plans import render, report
 from tracemill.sources import frames, logs, projection
 
 
@@ -41,7 +42,20 @@ def test_logs_round_trip_and_cli(spark, tmp_path):
     assert out.activations.count() == t.activations.count()
     text = (tmp_path / "report.txt").read_text()
     assert "Program Overview" in text and "Operators Ranked by Total Runtime" in text and "Operator Tree" in text
-    assert "palette_colors" in (tmp_path / "page/index.html").read_text()
+    page = (tmp_path / "page/index.html").read_text()
+    data = json.loads(page[page.index("const data = ") + 13 : page.index(";\nconst SVG")].replace("<\\/", "</"))
+    assert {(e["source_id"], e["target_id"]) for e in data["edges"]} == {(r["source_id"], r["target_id"]) for r in t.edges.collect()} and data["edges"]
+    assert {n["id"] for n in data["graph_nodes"]} == {r["id"] for r in t.nodes.collect()} and len(data["palette_colors"]) == 10
+    top = sorted((r["total_ns"] for r in t.aggregated_summaries.collect()), reverse=True)
+    assert [v["total_ns"] for v in data["vega"]] == top and data["totals"]["activations"] == len(data["activations"]) == t.activations.count()
+    assert spark.read.json(str(tmp_path / "page/data/timeline_events")).count() == t.timeline_events.count()
+
+
+def test_page_says_what_it_leaves_out(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(render, "PAGE_ROWS", 3)
+    data = render.graph_data(projection.dense_trace(spark, SF), path=f"file://{tmp_path}")
+    assert len(data["activations"]) == 3 < data["totals"]["activations"] == spark.read.json(str(tmp_path / "activations")).count()
+    assert data["activations"] == sorted(data["activations"], key=lambda r: r["start_ns"]) and data["orphans"]
     assert spark.read.parquet(str(tmp_path / "saved/timely")).count() == t.timely.count()
 
 

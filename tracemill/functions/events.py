@@ -44,6 +44,18 @@ def is_stop() -> Column:
     return F.coalesce(~F.col("is_start"), F.lit(False))
 
 
+def is_progress() -> Column:
+    """A captured frame that moves the frontier (column `changes`), not one with rows (column `rows`)."""
+    return F.col("changes").isNotNull()
+
+
+def is_messages() -> Column:
+    return F.col("rows").isNotNull()
+
+
+is_data = is_messages
+
+
 def is_park() -> Column:
     return is_kind("Park") & is_start()
 

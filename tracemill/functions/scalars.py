@@ -49,7 +49,7 @@ def format_addr(addr: Column) -> Column:
 
 def escape_label(text: Column) -> Column:
     """Backslashes doubled, for labels of graph nodes."""
-    return F.regexp_replace(text, r"\\", r"\\\\\\\\")
+    return F.regexp_replace(text, r"\\", r"\\\\")
 
 
 def source_name(prefix: str, worker: Column, replay: bool = False, extension: str = "frames") -> Column:
@@ -204,3 +204,21 @@ def text_color(rgb: Column) -> Column:
 def distinguishing_key(worker: Column, kind: Column, ref_id: Column) -> Column:
     """Routing key of events that belong together."""
     return F.xxhash64(worker, kind, ref_id)
+
+
+def signed_id(unsigned: Column) -> Column:
+    """A 64-bit unsigned number (DECIMAL(20, 0), or text) as the BIGINT of the same bits: ids from 2**63 on become negative,
+    one to one.  All keys of the engine are such BIGINTs."""
+    wide = unsigned.cast("decimal(20,0)")
+    return F.when(wide >= F.lit("9223372036854775808").cast("decimal(20,0)"), wide - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("bigint")
+
+
+def unsigned_id(signed: Column) -> Column:
+    """The unsigned number of a BIGINT's bits, as DECIMAL(20, 0)."""
+    wide = signed.cast("decimal(20,0)")
+    return F.when(signed < 0, wide + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+
+
+def uniform(seed: Column, low: Column, high: Column) -> Column:
+    """A whole number in [low, high) drawn from a seed: equal seeds draw equal numbers, wherever they run."""
+    return low + F.pmod(F.xxhash64(seed), high - low)

@@ -49,6 +49,16 @@ def snapshot(changes: DataFrame, weight: str = "diff") -> DataFrame:
     return consolidate(changes, weight).where(F.col(weight) > 0).drop(weight)
 
 
+def compact(held: DataFrame, release: str = "release_ns", weight: str = "diff", dirty: Column | None = None) -> DataFrame:
+    """Held changes with one row per release time and record, weights summed, zero sums gone; with `dirty`, a condition on
+    the release time, only there."""
+    by = [c for c in held.columns if c != weight]
+    if dirty is None:
+        return consolidate(held, weight)
+    clean = held.where(F.coalesce(~dirty, F.lit(True)))
+    return clean.unionByName(held.where(dirty).groupBy(*by).agg(F.sum(weight).alias(weight)).where(F.col(weight) != 0).select(*held.columns))
+
+
 def reduce_collect(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
     """Distinct values of each key in ascending order."""
     return df.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias(name))
@@ -68,6 +78,19 @@ def hierarchical_reduce(df: DataFrame, by: list[str], aggregate: str, value: str
     return part.groupBy(*by).agg(f(name).alias(name))
 
 
+def hierarchical_sort_by(df: DataFrame, by: list[str], value: Column, name: str, weight: Column | None = None, levels: tuple[int, ...] = (1 << 12, 1 << 6)) -> DataFrame:
+    """All values of each key in ascending order, repeats included, by merging ever larger buckets of the values' hash: what
+    is merged last are a few sorted lists of (value, times).  A weight is the times of a row, which may be negative; values
+    whose times add up to none or less are gone, and keys without values too."""
+    counted = df.select(*by, value.alias("_value"), (F.lit(1) if weight is None else weight).cast("bigint").alias("_times"))
+    counted = counted.groupBy(*by, "_value").agg(F.sum("_times").alias("_times")).where("_times > 0")
+    part = counted.select(*by, F.xxhash64("_value").alias("_bucket"), F.array(F.struct("_value", "_times")).alias(name))
+    for buckets in levels:
+        part = part.groupBy(*by, F.pmod("_bucket", F.lit(buckets)).alias("_bucket")).agg(F.array_sort(F.flatten(F.collect_list(name))).alias(name))
+    whole = part.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list(name))).alias(name))
+    return whole.withColumn(name, F.flatten(F.transform(name, lambda x: F.array_repeat(x["_value"], x["_times"].cast("int")))))
+
+
 def optional_aggregate(df: DataFrame, by: list[str], keep: Column, aggregate: Column, name: str) -> DataFrame:
     """An aggregate over the rows to keep, null for keys that have none: keys never vanish."""
     kept = df.where(keep).groupBy(*by).agg(aggregate.alias(name))

@@ -26,6 +26,11 @@ def filter_map(df: DataFrame, keep: Column, **columns: Column) -> DataFrame:
     return map_rows(df.where(keep), **columns)
 
 
+def filter_map_timed(df: DataFrame, time: str, keep: Column, **columns: Column) -> DataFrame:
+    """filter_map that keeps the logical time, which the condition and the expressions may use."""
+    return map_timed(df.where(keep), time, **columns)
+
+
 def flat_map(df: DataFrame, items: Column, name: str) -> DataFrame:
     """A row for each element of an array expression, after the input's columns."""
     return df.select("*", F.explode(items).alias(name))
@@ -60,3 +65,14 @@ def inspect(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
 def delay(df: DataFrame, time: str, to: Column) -> DataFrame:
     """Rows re-timed to a later time; a time never moves back."""
     return df.withColumn(time, F.greatest(F.col(time), to))
+
+
+def hold(df: DataFrame, time: str, to: Column, release: str = "release_ns") -> DataFrame:
+    """Rows with the time at which they are due, which is never before their own; their own time stays."""
+    return df.withColumn(release, F.greatest(F.col(time), to))
+
+
+def due(held: DataFrame, frontier: Column, release: str = "release_ns") -> tuple[DataFrame, DataFrame]:
+    """Held rows that a frontier lets go, as it has passed their release, and those that stay held."""
+    passed = F.coalesce(F.col(release) < frontier, F.lit(False))
+    return held.where(passed), held.where(~passed)

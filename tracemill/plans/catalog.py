@@ -249,6 +249,30 @@ QUERIES: dict[str, Query] = {
     ),
     "sort_by": _on(lambda o: aggregates.sort_by(o, ["o_custkey"], F.col("o_orderkey"), "n").select("o_custkey", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("orders")), "orders"),
     "hierarchical_reduce": _on(lambda d: aggregates.hierarchical_reduce(d, ["l_returnflag"], "sum", "l_linenumber", "total"), "lineitem"),
+    "hierarchical_sort_by": _on(
+        lambda o: aggregates.hierarchical_sort_by(o, ["o_custkey"], F.pmod("o_orderkey", F.lit(100)), "n").select("o_custkey", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("orders")),
+        "orders",
+    ),
+    "compact_held": _on(
+        lambda o: aggregates.compact(
+            select.hold(o.select(F.pmod("o_orderkey", F.lit(50)).alias("own_ns"), F.pmod("o_custkey", F.lit(3)).alias("record"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).cast("bigint").alias("diff")), "own_ns", F.col("own_ns") * 3 - 40),
+            dirty=F.col("release_ns") < 60,
+        ).groupBy("release_ns", "own_ns", "record").agg(F.sum("diff").alias("diff"), F.count(F.lit(1)).alias("rows")),
+        "orders",
+    ),
+    "held_due": _on(lambda o: select.due(select.hold(o.select("o_orderkey", "o_custkey"), "o_custkey", F.pmod("o_orderkey", F.lit(1000))), F.lit(500))[0], "orders"),
+    "map_in_place": _on(lambda c: select.map_in_place(c.select("c_custkey", "c_name"), c_name=F.lower("c_name")), "customer"),
+    "map_timed": _on(lambda o: select.map_timed(o, "o_orderdate", id=F.col("o_orderkey"), year=F.year("o_orderdate")), "orders"),
+    "filter_map_timed": _on(lambda o: select.filter_map_timed(o, "o_orderdate", F.year("o_orderdate") > 1995, id=F.col("o_orderkey")), "orders"),
+    "escape_label": _on(lambda c: c.select("c_custkey", S.escape_label(F.concat_ws("\\", "c_name", "c_mktsegment")).alias("label")), "customer"),
+    "extend_addr": _on_trace(lambda t: t.raw_operators.select("id", S.format_addr(S.extend(F.col("addr"), S.from_segments(F.col("id"), F.lit(7)))).alias("addr"))),
+    "debug_duration": _on(lambda o: o.select("o_orderkey", S.debug_duration(F.col("o_orderkey") * 1500).alias("text")), "orders"),
+    "from_seconds": _on(lambda s: s.select("s_suppkey", S.from_seconds(F.floor("s_acctbal").cast("double")).alias("ns")), "supplier"),
+    "unsigned_ids": _on(
+        lambda o: o.select("o_orderkey", (F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("o_orderkey")).cast("decimal(20,0)").alias("wide"))
+        .select("o_orderkey", S.signed_id(F.col("wide")).alias("signed"), (S.unsigned_id(S.signed_id(F.col("wide"))) == F.col("wide")).alias("back")),
+        "orders",
+    ),
     "optional_aggregate": _on(lambda o: aggregates.optional_aggregate(o, ["o_custkey"], F.col("o_orderstatus") == "F", F.max("o_orderkey"), "latest"), "orders"),
     "epoch_lattice": _on(_epochs, "orders"),
     **streams.QUERIES,

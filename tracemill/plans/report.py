@@ -1,6 +1,7 @@
-"""The text report: tables and the operator tree, rendered on the driver from a few rows a table.
+"""The text report: tables and the operator tree, rendered on the driver.
 
-Rows shown are bounded by ROWS a table; the relations themselves are tables to query.
+All rows are shown: a row per operator or worker, so the report grows with the program, not with its run.  They come one
+partition at a time.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from tracemill.functions import scalars as S
 from tracemill.plans import analytics as A
 from tracemill.plans.relations import Trace
 
-ROWS = 100_000
-
 
 def table(title: str, header: Sequence[str], rows: Iterable[Sequence]) -> str:
     cells = [[str(x) if x is not None else "" for x in row] for row in [header, *rows]]
@@ -26,7 +25,7 @@ def table(title: str, header: Sequence[str], rows: Iterable[Sequence]) -> str:
 
 
 def _rows(df: DataFrame, *columns: str) -> list[tuple]:
-    return [tuple(r) for r in df.select(*columns).limit(ROWS).collect()]
+    return [tuple(r) for r in df.select(*columns).toLocalIterator()]
 
 
 def _times(df: DataFrame, *columns: str) -> DataFrame:

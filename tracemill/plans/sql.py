@@ -360,6 +360,20 @@ FROM p""",
     "reduce_collect": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS line_numbers FROM lineitem GROUP BY 1",
     "sort_by": "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1",
     "hierarchical_reduce": "SELECT l_returnflag, sum(l_linenumber::BIGINT)::BIGINT AS total FROM lineitem GROUP BY 1",
+    "hierarchical_sort_by": "SELECT o_custkey, string_agg((o_orderkey % 100)::VARCHAR, ',' ORDER BY o_orderkey % 100) AS orders FROM orders GROUP BY 1",
+    "compact_held": """
+WITH h AS (SELECT o_orderkey % 50 AS own_ns, o_custkey % 3 AS record, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS diff, greatest(o_orderkey % 50, o_orderkey % 50 * 3 - 40) AS release_ns FROM orders)
+SELECT release_ns, own_ns, record, sum(diff)::BIGINT AS diff, CASE WHEN release_ns < 60 THEN 1 ELSE count(*) END::BIGINT AS rows FROM h GROUP BY 1, 2, 3 HAVING release_ns >= 60 OR sum(diff) <> 0""",
+    "held_due": "SELECT o_orderkey, o_custkey, greatest(o_custkey, o_orderkey % 1000) AS release_ns FROM orders WHERE greatest(o_custkey, o_orderkey % 1000) < 500",
+    "map_in_place": "SELECT c_custkey, lower(c_name) AS c_name FROM customer",
+    "map_timed": "SELECT o_orderdate, o_orderkey AS id, year(o_orderdate)::INT AS year FROM orders",
+    "filter_map_timed": "SELECT o_orderdate, o_orderkey AS id FROM orders WHERE year(o_orderdate) > 1995",
+    "escape_label": "SELECT c_custkey, c_name || '\\\\' || c_mktsegment AS label FROM customer",
+    "debug_duration": "SELECT o_orderkey, CASE WHEN ns >= 1000000000 THEN ns // 1000000000 || CASE WHEN ns % 1000000000 = 0 THEN '' ELSE '.' || rtrim(lpad((ns % 1000000000)::VARCHAR, 9, '0'), '0') END || 's' WHEN ns >= 1000000 THEN ns // 1000000 || CASE WHEN ns % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((ns % 1000000)::VARCHAR, 6, '0'), '0') END || 'ms' "
+    "WHEN ns >= 1000 THEN ns // 1000 || CASE WHEN ns % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad((ns % 1000)::VARCHAR, 3, '0'), '0') END || 'µs' ELSE ns || 'ns' END AS text FROM (SELECT o_orderkey, o_orderkey * 1500 AS ns FROM orders)",
+    "extend_addr": query(f"SELECT id, {text('addr || [id, 7::BIGINT]')} AS addr FROM ops"),
+    "from_seconds": "SELECT s_suppkey, CASE WHEN floor(s_acctbal) >= 0 THEN floor(s_acctbal)::BIGINT * 1000000000 ELSE 0 END AS ns FROM supplier",
+    "unsigned_ids": "SELECT o_orderkey, -1 - o_orderkey AS signed, true AS back FROM orders",
     "optional_aggregate": "SELECT o_custkey, max(o_orderkey) FILTER (o_orderstatus = 'F') AS latest FROM orders GROUP BY 1",
     "epoch_lattice": "SELECT o_orderkey, greatest(o_orderkey, o_custkey) AS join_system, greatest(o_custkey, o_orderkey % 7) AS join_data, least(o_orderkey, o_custkey) AS meet_system, "
     "least(o_custkey, o_orderkey % 7) AS meet_data, o_orderkey <= o_custkey AND o_custkey <= o_orderkey % 7 AS less_equal FROM orders",
@@ -379,6 +393,7 @@ FROM p""",
   SELECT worker, ts, sum(opens) OVER (PARTITION BY worker ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM (
     SELECT worker, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY worker ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM ev)) GROUP BY worker, n"""
     ),
+    "stream_gated": query("SELECT seq, t AS time_ns, worker, operator FROM ev"),
     "stream_late": query("SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS events FROM ev GROUP BY 1"),
     "stream_tumbling": query("SELECT worker, (t // 5000000 + 1) * 5000000 AS bucket_ns, count(*) AS events FROM ev GROUP BY 1, 2"),
 }

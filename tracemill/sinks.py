@@ -26,6 +26,11 @@ def dump_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def dump_text(df: DataFrame, path: str) -> None:
+    """Every row as a line of text."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
 def save_log(log: DataFrame, path: str, kind: str) -> None:
     """Recapture a log as Parquet, a directory per worker."""
     log.withColumn("by_worker", F.col("worker")).write.mode("overwrite").partitionBy("by_worker").parquet(f"{path}/{kind}")

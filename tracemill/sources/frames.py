@@ -55,6 +55,13 @@ def decode(stream) -> Iterator[dict]:
         yield json.loads(payload)
 
 
+def _signed(value):
+    """Numbers from 2**63 on, which ids may be, as the signed number of the same bits; lists alike."""
+    if isinstance(value, list):
+        return [_signed(x) for x in value]
+    return value - (1 << 64) if isinstance(value, int) and not isinstance(value, bool) and value >= 1 << 63 else value
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -86,7 +93,7 @@ class FrameReader(DataSourceReader):
                 if "messages" in frame:
                     capability, rows = frame["messages"]
                     for row in rows:
-                        yield tuple(row.get(n, capability if n == "capability_ns" else None) for n in self.names)
+                        yield tuple(_signed(row.get(n, capability if n == "capability_ns" else None)) for n in self.names)
 
 
 class FrameSource(DataSource):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import scalars as S
 from tracemill.sinks import drain
 from tracemill.sources import projection as P
-from tracemill.streaming import stateful
+from tracemill.streaming import gate, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,11 @@ def late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(found.select(F.col("w.start").alias("start"), "events"), "complete", "late")
 
 
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through the lateness gate: the same rows as without it, in whichever batch each goes out."""
+    return gate.gated(events(spark, sf_dir).select("seq", "time_ns", "worker", "operator")).select("seq", "time_ns", "worker", "operator")
+
+
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paired(stateful.slot_intervals, "activations", _scheduled())(spark, sf_dir)
 
@@ -89,4 +94,5 @@ QUERIES: dict[str, Query] = {
     "stream_tumbling": tumbling,
     "stream_session": sessions,
     "stream_late": late,
+    "stream_gated": gated,
 }
