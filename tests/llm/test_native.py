@@ -148,8 +148,9 @@ def test_mixing_meets_given_targets(spark, monkeypatch):
     target = lambda **shares: spark.createDataFrame(list(shares.items()), "value string, share double")
     wanted = {"source": target(a=0.7, b=0.3), "lang": target(en=0.4, de=0.6), "topic": target(prose=1.0)}
     want = {"a": 0.7, "b": 0.3, "en": 0.4, "de": 0.6}
-    for cells in (100_000, 1):  # in one task, and by shuffles
-        monkeypatch.setattr(mixing, "SMALL_CELLS", cells)
+    for small, row in ((100_000, 2000), (100_000, 1), (1, 1)):  # in one row, in one task, and by shuffles
+        monkeypatch.setattr(mixing, "SMALL_CELLS", small)
+        monkeypatch.setattr(mixing, "ROW_CELLS", row)
         got = mixing.sample(docs, Workspace(spark, "test"), share=0.3, targets=wanted).collect()
         total = sum(r["tokens"] for r in got)
         for k, v in want.items():

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.expressions import unused
+from tracemill.llm.expressions import let, unused
 from tracemill.llm.storage import Workspace
 
 MARGINS = ("source", "lang", "topic")
@@ -24,6 +24,8 @@ MOST_ROUNDS = 120
 STORED = 6
 #: Cells that are fitted in one task, and broadcast to the documents, at most; beyond, both are joins by a shuffle.
 SMALL_CELLS = 100_000
+#: Cells whose rounds are one expression on one row, at most: its time grows with cells times margin values.
+ROW_CELLS = 2000
 
 
 def tokens(text: Column) -> Column:
@@ -66,6 +68,8 @@ def fit(cells: DataFrame, targets: Mapping[str, DataFrame], share: float, space:
     for m, target in targets.items():
         want = target.select(F.col("value").alias("_value"), (F.col("share") * F.lit(budget)).alias(f"want_{m}"))
         fitted = fitted.join(want, F.col(m) == F.col("_value"), "left").drop("_value")
+    if facts["n"] <= ROW_CELLS:
+        return space.save(_fitted_in_a_row(fitted, list(targets)), "rates")
     for k in range(0, MOST_ROUNDS, STORED):
         # a single partition meets every window's needs without a shuffle
         fitted = fitted.coalesce(1) if facts["n"] <= SMALL_CELLS else fitted
@@ -85,6 +89,46 @@ def fit(cells: DataFrame, targets: Mapping[str, DataFrame], share: float, space:
     return fitted
 
 
+def _fitted_in_a_row(cells: DataFrame, margins: list[str]) -> DataFrame:
+    """All rounds over a few cells as one expression on one row of arrays."""
+    one = cells.agg(F.array_sort(F.collect_list(F.struct(*margins, "tokens", *[f"want_{m}" for m in margins], "rate"))).alias("cells"))
+    one = one.withColumns({"tokens": F.transform("cells", lambda c: c["tokens"].cast("double")), "start": F.transform("cells", lambda c: c["rate"])})
+
+    def placed(df: DataFrame, m: str) -> DataFrame:
+        """Each cell's place among the margin's values, and what these want."""
+        values = F.array_distinct(F.transform("cells", lambda c: F.struct(c[m].alias("value"), F.coalesce(c[f"want_{m}"], F.lit(0.0)).alias("want"))))
+        df = df.withColumn("values", values).withColumn("names", F.transform("values", lambda v: v["value"]))
+        at = F.transform("cells", lambda c: (F.array_position("names", c[m]) - 1).cast("int"))
+        return df.withColumns({f"at_{m}": at, f"wants_{m}": F.transform("values", lambda v: v["want"])}).drop("values", "names")
+
+    for m in margins:
+        one = placed(one, m)
+
+    def stepped(rates: Column, m: str) -> Column:
+        def scaled(products: Column) -> Column:
+            def have(v: Column) -> Column:
+                return F.aggregate(F.zip_with(f"at_{m}", products, lambda i, x: F.when(i == v, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+            scales = F.transform(f"wants_{m}", lambda w, v: let(have(v), lambda h: F.when(h > 0, w / h).otherwise(1.0)))
+            return let(scales, lambda by: F.zip_with(rates, f"at_{m}", lambda r, i: F.least(F.lit(1.0), r * F.get(by, i))))
+
+        return let(F.zip_with("tokens", rates, lambda t, r: t * r), scaled)
+
+    def round_of(rates: Column, left: list[str]) -> Column:
+        return let(stepped(rates, left[0]), lambda new: round_of(new, left[1:])) if left else rates
+
+    def advanced(state: Column, _: Column) -> Column:
+        def measured(new: Column) -> Column:
+            moved = F.aggregate(F.zip_with(new, state["rates"], lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+            return F.struct(new.alias("rates"), moved.alias("moved"))
+
+        return F.when(state["moved"] <= TOLERANCE, state).otherwise(let(round_of(state["rates"], margins), measured))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_ROUNDS)), F.struct(F.col("start").alias("rates"), F.lit(1.0).alias("moved")), advanced)
+    each = one.select(F.explode(F.arrays_zip("cells", done["rates"].alias("rates"))).alias("e"))
+    return each.select(*[F.col(f"e.cells.{c}") for c in (*margins, "tokens")], F.col("e.rates").alias("rate"), *[F.col(f"e.cells.want_{m}") for m in margins])
+
+
 def misses(fitted: DataFrame, margins=MARGINS) -> DataFrame:
     """(margin, value, want, expected) of a fit: wanted tokens, and those to expect at its rates."""
     found = None
