@@ -131,27 +131,28 @@ def _among(bigrams: list[str]) -> str:
     return ", ".join(f"'{b}'" for b in bigrams)
 
 
-def _best(t: Template, grams: Column, hits: str) -> Column:
-    """The best passage for a template as (dice, -place, licence, bigrams), or null."""
-    own = F.expr(f"filter({hits}, h -> h.g in ({_among(t.bigrams)}))")
+def _parameters(known: list[Template]) -> Column:
+    """The templates' numbers, as an array."""
+    numbers = ("least", "gap", "run", "longest", "reach")
+    return F.expr("array(" + ", ".join(f"struct('{t.licence}' AS licence, {len(t.bigrams)} AS b, " + ", ".join(f"{getattr(t, n)} AS {n}" for n in numbers) + ")" for t in known) + ")")
 
-    def passages(own: Column) -> Column:
-        at = lambda i: F.get(own, i)["p"]
-        starts = F.filter(F.transform(own, lambda h, i: F.when((i == 0) | (h["p"] - at(i - 1) > t.gap), i)), lambda i: i.isNotNull())
-        runs = let(starts, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("lo"), (F.coalesce(F.get(s, k + 1), F.size(own)) - 1).alias("hi"))))
-        solid = F.filter(runs, lambda r: r["hi"] - r["lo"] + 1 >= t.run)
-        spans = let(solid, lambda s: F.flatten(F.transform(s, lambda r, k: F.transform(F.slice(s, k + 1, F.lit(t.reach)), lambda e: F.struct(r["lo"].alias("lo"), e["hi"].alias("hi"))))))
-        near = F.filter(spans, lambda x: (at(x["hi"]) - at(x["lo"]) + 1 <= t.longest) & (x["hi"] - x["lo"] + 1 >= t.least))
 
-        def scored(x: Column) -> Column:
-            lo, hi = at(x["lo"]), at(x["hi"])
-            a = F.size(F.array_distinct(F.slice(grams, lo + 1, hi - lo + 1)))
-            c = F.size(F.array_distinct(F.transform(F.slice(own, x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda h: h["g"])))
-            return F.struct((2.0 * c / (a + len(t.bigrams))).alias("dice"), (-lo).alias("place"), F.lit(t.licence).alias("licence"), (hi - lo + 1).alias("size"))
+def _best(own: Column, t: Column, grams: Column, threshold: float) -> Column:
+    """The best passage for a template as (dice, -place, licence, bigrams), or null; own: its bigrams in the text."""
+    at = lambda i: F.get(own, i)["p"]
+    starts = F.filter(F.transform(own, lambda h, i: F.when((i == 0) | (h["p"] - at(i - 1) > t["gap"]), i)), lambda i: i.isNotNull())
+    runs = let(starts, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("lo"), (F.coalesce(F.get(s, k + 1), F.size(own)) - 1).alias("hi"))))
+    solid = F.filter(runs, lambda r: r["hi"] - r["lo"] + 1 >= t["run"])
+    spans = let(solid, lambda s: F.flatten(F.transform(s, lambda r, k: F.transform(F.slice(s, k + 1, t["reach"]), lambda e: F.struct(r["lo"].alias("lo"), e["hi"].alias("hi"))))))
+    near = F.filter(spans, lambda x: (at(x["hi"]) - at(x["lo"]) + 1 <= t["longest"]) & (x["hi"] - x["lo"] + 1 >= t["least"]))
 
-        return F.array_max(F.filter(F.transform(near, scored), lambda s: s["dice"] >= t.threshold))
+    def scored(x: Column) -> Column:
+        lo, hi = at(x["lo"]), at(x["hi"])
+        a = F.size(F.array_distinct(F.slice(grams, lo + 1, hi - lo + 1)))
+        c = F.size(F.array_distinct(F.transform(F.slice(own, x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda h: h["g"])))
+        return F.struct((2.0 * c / (a + t["b"])).alias("dice"), (-lo).alias("place"), t["licence"].alias("licence"), (hi - lo + 1).alias("size"))
 
-    return let(own, lambda o: F.when(F.size(o) >= t.least, passages(o)))
+    return F.when(F.size(own) >= t["least"], F.array_max(F.filter(F.transform(near, scored), lambda s: s["dice"] >= threshold)))
 
 
 def scan(docs: DataFrame, text_col: str = "text", known: list[Template] | None = None) -> DataFrame:
@@ -165,12 +166,15 @@ def scan(docs: DataFrame, text_col: str = "text", known: list[Template] | None =
     """
     known = templates() if known is None else known
     docs = docs.drop("licences", "licence", "dice", "licence_place", "licence_bigrams")
-    grams, hits, found = (unused(docs.columns, c) for c in ("licence_grams", "licence_hits", "licence_found"))
+    grams, hits, each, found = (unused(docs.columns, c) for c in ("licence_grams", "licence_hits", "licence_each", "licence_found"))
     every = _among(sorted({b for t in known for b in t.bigrams}))
     out = docs.withColumn(grams, bigrams(F.coalesce(docs[text_col], F.lit(""))))
     out = out.withColumn(hits, F.expr(f"filter(transform({grams}, (g, i) -> struct(g as g, i as p)), h -> h.g in ({every}))"))
-    matches = F.filter(F.array(*[_best(t, F.col(grams), hits) for t in known]), lambda m: m.isNotNull())
-    out = out.withColumn(found, matches)
+    # every template's own bigrams, and then one expression for all of them
+    out = out.withColumn(each, F.expr("array(" + ", ".join(f"filter({hits}, h -> h.g in ({_among(t.bigrams)}))" for t in known) + ")"))
+    parameters, threshold = _parameters(known), known[0].threshold
+    matches = F.transform(each, lambda o, k: let(F.get(parameters, k), lambda t: _best(o, t, F.col(grams), threshold)))
+    out = out.withColumn(found, F.filter(matches, lambda m: m.isNotNull()))
     best = F.array_max(found)
     return out.select(
         *docs.columns, F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["licence"]))), ",").alias("licences"), best["licence"].alias("licence"),
