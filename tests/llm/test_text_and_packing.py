@@ -79,3 +79,25 @@ def test_very_long_texts_are_cut_without_a_trace(monkeypatch):
     coder, plain = packing.TextCoder(PATH), Tokenizer.from_file(PATH)
     got = [x.tolist() for x in coder.encode(*textkit.flat_utf8(pa.array(texts)))]
     assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_blocks_of_a_partition_and_padding(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "naïve", "x1"]) for _ in range(rng.randint(0, 60)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = {}
+    for block in (1 << 18, 40):
+        found = packing.pack(docs, PATH, window=64, block_docs=block).collect()
+        whole[block] = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+        used = {}
+        for r in found:
+            used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["sequence_tokens"], r["padded_tokens"]))
+        for pieces in used.values():
+            at = 0
+            for offset, length, _, _ in sorted(pieces):
+                assert offset == at
+                at += length
+            assert all(p[2] == at <= 64 and p[3] == (at if at & (at - 1) == 0 else 64) for p in pieces)
+        assert sum(p[0][3] for p in used.values()) < (1.1 if block > 300 else 1.4) * sum(r["length"] for r in found)
+    assert whole[1 << 18] == whole[40]  # pieces are cut before they are packed
+    assert [packing.padded(n, 2048) for n in (1, 2, 3, 1024, 1025, 2048)] == [1, 2, 2048, 1024, 2048, 2048]

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from tracemill.llm import textkit
 
-#: Documents whose remainders are packed together.
+#: Documents whose remainders are packed together, about: a partition with more is packed in several turns, each leaving its
+#: own last windows part empty, which is some windows in a hundred thousand.
 BLOCK_DOCS = 1 << 18
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -220,12 +221,12 @@ class TextCoder:
 _coders: dict[str, TextCoder] = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens (with the end id),
     sequence_id, offset, sequence_tokens, padded_tokens.
 
     Null or empty text: the end id alone.  A null id stays null; repeated rows are packed as often as they occur; equal
-    lengths keep their order; an empty table gives no rows; further columns are ignored.  Texts of any length are
+    lengths keep their order; sequences and their ids follow the partitions of docs; an empty table gives no rows; further columns are ignored.  Texts of any length are
     tokenised whole.
     """
     end = np.array([end_id], np.uint32)
@@ -259,7 +260,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                     rest.append((doc_id, whole, total - whole, zlib.crc32(ids[4 * whole :]), total))
             if rows:
                 yield table(rows)
-            if len(rest) >= BLOCK_DOCS:
+            if len(rest) >= block_docs:
                 yield packed()
         if rest:
             yield packed()
