@@ -25,6 +25,14 @@ def test_without_the_subpackage():
     subprocess.run([sys.executable, "-c", WITHOUT], cwd=ROOT, check=True, timeout=60)
 
 
+def test_a_broken_dependency_is_told():
+    broken = WITHOUT[: WITHOUT.index("import __spark_entry__")].replace('name == "corpus_pipeline" or name.startswith("tracemill.llm")', 'name == "public_tokenizers"')
+    code = broken + "try:\n    import __spark_entry__\nexcept ImportError:\n    sys.exit(7)\n"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=60).returncode in (0, 7)
+    if (ROOT / "corpus_pipeline.py").exists() and (ROOT / "tracemill/llm").exists():
+        assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=60).returncode == 7
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in [*(ROOT / "tracemill").rglob("*.py"), ROOT / "bench.py"]:
         if "llm" not in path.parts:
