@@ -1,6 +1,7 @@
 """Golden vectors and property tests of start/stop pairing."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill import schemas
 from tracemill.operators import pairing, windows
 from tracemill.plans.relations import Trace
-
+from tracemill.streaming import stateful
 
 
 def log(spark, rows, ddl=schemas.TIMELY_LOG):
@@ -80,3 +81,17 @@ def test_collapse(spark):
     df = spark.createDataFrame(rows, "seq long, worker long, kind string, ref_id long, start_ns long, duration_ns long").withColumn("collapsed_events", F.lit(1).cast("long"))
     found = sorted(tuple(r) for r in windows.collapse_events(df).collect())
     assert found == [(0, "A", 1, 0, 1_000_100, 2), (0, "A", 1, 9_000_000, 7, 1), (0, "B", 1, 1_400_200, 5, 1), (1, "A", 1, 9_000_000, 7, 1)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_streams_pair_across_batches(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [((rng.randrange(2), rng.randrange(3)), 10 * n, rng.choice(["start", "start", "stop", "end", "stop"]) if n % 9 else "start") for n in range(120)]
+    for n in range(6):  # a file a batch
+        part = [(*key, t // 10, t, action) for key, t, action in rows[20 * n : 20 * n + 20]]
+        spark.createDataFrame(part, "worker long, operator long, seq long, time_ns long, action string").coalesce(1).write.parquet(str(tmp_path / f"f{n}"))
+        time.sleep(0.02)
+    line, acts = simulate(rows)
+    for pair, want in ((stateful.stacks, line), (stateful.slots, acts)):
+        stream = spark.readStream.schema("worker long, operator long, seq long, time_ns long, action string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
+        assert sorted(tuple(r) for r in stateful.paired(stream, pair, "test").collect()) == want

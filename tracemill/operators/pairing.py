@@ -19,9 +19,8 @@ def slot(df: DataFrame, by: list[str], opens: Column, time: str = "time_ns", ord
     return paired.where(~F.col("_open") & F.col("_opened")).select(*by, F.col("_start").alias("start_ns"), S.saturating_sub(F.col("_t"), F.col("_start")).alias("duration_ns"))
 
 
-def stack(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq", action: str = "action", place: str | None = None) -> DataFrame:
-    """(by, start_ns, duration_ns) of rows whose action is start, stop or end (ends all), with `place` the order of the row
-    that closes, if asked for.  Stops without an open start and starts that nothing closes give nothing."""
+def _stacked(df: DataFrame, by: list[str], time: str, order: str, action: str) -> DataFrame:
+    """Starts with _stop, the row that stops each, and _end, the one that ends its epoch: their time and order, or null."""
     rows = df.select(*by, F.col(time).alias("_t"), F.col(order).alias("_o"), F.col(action).alias("_a"))
     by_key = Window.partitionBy(*by).orderBy("_o")
     ended = F.coalesce(F.sum(F.when(F.col("_a") == "end", 1).otherwise(0)).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -37,6 +36,18 @@ def stack(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq
     rows = rows.where("_level > 0")  # neither ends nor stops without a start
     paired = Window.partitionBy(*by, "_epoch", "_level").orderBy("_o")
     rows = rows.withColumn("_stop", F.when(F.lead("_a").over(paired) == "stop", F.struct(F.lead("_t").over(paired).alias("_t"), F.lead("_o").over(paired).alias("_o"))))
+    return rows.where(F.col("_a") == "start")
+
+def stack(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq", action: str = "action", place: str | None = None) -> DataFrame:
+    """(by, start_ns, duration_ns) of rows whose action is start, stop or end (ends all), with `place` the order of the row
+    that closes, if asked for.  Stops without an open start and starts that nothing closes give nothing."""
+    rows = _stacked(df, by, time, order, action)
     closed = F.coalesce("_stop", "_end")
-    found = rows.where((F.col("_a") == "start") & closed.isNotNull())
+    found = rows.where(closed.isNotNull())
     return found.select(*by, F.col("_t").alias("start_ns"), S.saturating_sub(closed["_t"], F.col("_t")).alias("duration_ns"), *([closed["_o"].alias(place)] if place else []))
+
+
+def unclosed(df: DataFrame, by: list[str], time: str = "time_ns", order: str = "seq", action: str = "action") -> DataFrame:
+    """Starts that nothing closes, as rows of stack()'s input."""
+    rows = _stacked(df, by, time, order, action).where("_stop is null and _end is null")
+    return rows.select(*by, F.col("_o").alias(order), F.col("_t").alias(time), F.col("_a").alias(action))

@@ -22,10 +22,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.event_columns(stream, P.supplier_count(spark, sf_dir))
 
 
-def _paired(pair: Callable[[DataFrame], DataFrame], label: str, action: Column) -> Query:
+def _paired(pair: stateful.Pairing, label: str, action: Column) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = events(spark, sf_dir).withColumn("action", action).where("action is not null").select("worker", "operator", "seq", "time_ns", "action")
-        return drain(pair(rows), "append", label)
+        return stateful.paired(rows, pair, label)
 
     return run
 
@@ -65,18 +65,18 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paired(stateful.slot_intervals, "activations", _scheduled())(spark, sf_dir)
+    return _paired(stateful.slots, "activations", _scheduled())(spark, sf_dir)
 
 
 def lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lives from a signup to the next error."""
     event = F.col("event")
-    lives = _paired(stateful.slot_intervals, "lifespans", F.when(event == "signup", "start").when(event == "error", "end"))(spark, sf_dir)
+    lives = _paired(stateful.slots, "lifespans", F.when(event == "signup", "start").when(event == "error", "end"))(spark, sf_dir)
     return lives.select("worker", "operator", F.col("start_ns").alias("birth_ns"), (F.col("start_ns") + F.col("duration_ns")).alias("death_ns"))
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _paired(stateful.stack_intervals, "timeline", _scheduled())(spark, sf_dir)
+    found = _paired(stateful.stacks, "timeline", _scheduled())(spark, sf_dir)
     return found.select("worker", F.lit("Activation").alias("kind"), F.col("operator").alias("ref_id"), "start_ns", "duration_ns", F.lit(1).cast("bigint").alias("collapsed_events"))
 
 

@@ -1,64 +1,55 @@
-"""Stateful pairing over streams: the rules of tracemill.operators.pairing, kept per key between micro-batches.
+"""Start/stop pairing over streams: the windows of tracemill.operators.pairing, micro-batch by micro-batch.
 
-Rows of a key are taken in arrival order (seq) within a batch; batches follow each other.  State is a few numbers per key,
-dropped from nothing: late rows are deferred to their batch, never discarded.
+Each batch is paired together with the starts that the batches before it left open, which are a stored table, one version a
+batch; starts that stay open go on to the next.  So what is kept is no more than what is open, and everything else is the
+windows that a finished log is paired with.  A batch that is run again starts from the same open starts and replaces its own
+result.  Rows of a key are taken in arrival order (seq) within a batch, and batches follow each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-_SCHEMA = "worker BIGINT, operator BIGINT, start_ns BIGINT, duration_ns BIGINT"
+from tracemill import schemas
+from tracemill.operators import pairing
+from tracemill.operators.recursion import checkpoint_dir
 
+KEY = ["worker", "operator"]
+#: What pairs rows (worker, operator, seq, time_ns, action): intervals, and starts that are still open.
+Pairing = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
-def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values("seq", kind="stable")
 
+def slots(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A start takes the slot, a stop or end closes it; the last row of a key is open if it is a start."""
+    last = rows.groupBy(*KEY).agg(F.max_by(F.struct("seq", "time_ns", "action"), "seq").alias("r"))
+    return pairing.slot(rows, KEY, F.col("action") == "start"), last.select(*KEY, "r.seq", "r.time_ns", "r.action").where("action = 'start'")
 
-def _rows(key, found: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame([(*key, a, b) for a, b in found], columns=["worker", "operator", "start_ns", "duration_ns"])
 
+def stacks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Starts nest, a stop closes the latest, an end closes all."""
+    return pairing.stack(rows, KEY), pairing.unclosed(rows, KEY)
 
-def slot_intervals(events: DataFrame) -> DataFrame:
-    """events (worker, operator, seq, time_ns, action): a start takes the slot, a stop or end closes it."""
 
-    def pair(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, found = (state.get[0] if state.exists else None), []
-        for t, action in _ordered(parts)[["time_ns", "action"]].itertuples(index=False):
-            if action == "start":
-                start = t
-            elif start is not None:
-                found.append((start, max(0, t - start)))
-                start = None
-        if start is not None:
-            state.update((int(start),))
-        elif state.exists:
-            state.remove()
-        yield _rows(key, found)
+def paired(events: DataFrame, pair: Pairing, label: str) -> DataFrame:
+    """Intervals (worker, operator, start_ns, duration_ns) of a stream (worker, operator, seq, time_ns, action), drained."""
+    spark, schema = events.sparkSession, events.schema
+    base = f"{checkpoint_dir(spark)}/tracemill/{label}-{uuid.uuid4().hex}"
+    known = schemas.struct(schemas.ACTIVATIONS)
+    ran = []
 
-    return events.groupBy("worker", "operator").applyInPandasWithState(pair, _SCHEMA, "start BIGINT", "append", GroupStateTimeout.NoTimeout)
+    def one(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{base}/open-{number - 1}") if number else batch.limit(0)
+        # read by both results
+        rows = before.unionByName(batch).checkpoint()
+        found, left = pair(rows)
+        found.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        left.select(*schema.names).write.mode("overwrite").parquet(f"{base}/open-{number}")
+        ran.append(number)
 
-
-def stack_intervals(events: DataFrame) -> DataFrame:
-    """events as above: starts nest, a stop closes the latest, an end closes all."""
-
-    def pair(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, found = (list(state.get[0]) if state.exists else []), []
-        for t, action in _ordered(parts)[["time_ns", "action"]].itertuples(index=False):
-            if action == "start":
-                starts.append(int(t))
-            elif action == "stop":
-                if starts:
-                    s = starts.pop()
-                    found.append((s, max(0, t - s)))
-            else:
-                found += [(s, max(0, t - s)) for s in starts]
-                starts = []
-        state.update((starts,))
-        yield _rows(key, found)
-
-    return events.groupBy("worker", "operator").applyInPandasWithState(pair, _SCHEMA, "starts ARRAY<BIGINT>", "append", GroupStateTimeout.NoTimeout)
+    query = events.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(one).start()
+    query.awaitTermination()
+    return spark.read.schema(known).parquet(f"{base}/out").select(*known.names) if ran else spark.createDataFrame([], known)
