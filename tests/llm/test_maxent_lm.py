@@ -118,3 +118,84 @@ def test_without_training_and_without_rows(spark):
     r = L.score(docs, docs.limit(0), Workspace(spark, "test")).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
     assert L.score(docs.limit(0), docs, Workspace(spark, "test")).count() == 0
+
+
+def test_scores_do_not_depend_on_head(spark, monkeypatch):
+    # of two classes, one's words are all less frequent than the other's
+    rows = [*corpus()[:60], (3000, "zebrax zebrox zebrux zebrex zebrax", False), (3001, "zebrax the zebrix", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = []
+    for head in (1 << 16, 2):
+        monkeypatch.setattr(L, "HEAD", head)
+        got.append({r["doc_id"]: r["score"] for r in L.score(docs, docs.where("not held_out"), Workspace(spark, "test")).collect()})
+    assert got[0].keys() == got[1].keys()
+    assert all(abs(got[0][k] - got[1][k]) <= 1e-6 * abs(got[0][k]) for k in got[0])
+
+
+def pairs(of, rng, each=40):
+    """Texts of a word of its own before each of 600 words of one shape, every third of which share it."""
+    all_pairs = [f"cue{k // 3:03}x thi{k:03}ng" for k in range(600) for _ in range(each)]
+    rng.shuffle(all_pairs)
+    return [(of + k, " ".join(all_pairs[k : k + 100]), False) for k in range(0, len(all_pairs), 100)]
+
+
+def test_words_without_leaves_of_their_own_follow_their_history(spark):
+    rng = random.Random(4)
+    rows = pairs(0, rng)
+    order = rng.sample(range(600), 200)
+    right = " ".join(f"cue{k // 3:03}x thi{k:03}ng" for k in order)
+    wrong = " ".join(f"cue{k // 3:03}x thi{w:03}ng" for k, w in zip(order, order[1:] + order[:1], strict=True))
+    docs = spark.createDataFrame([*rows, (100_000, right, True), (100_001, wrong, True)], "doc_id long, text string, held_out boolean")
+    found = {r["doc_id"]: r for r in L.score(docs, docs.where("not held_out"), Workspace(spark, "test")).where("doc_id >= 100000").collect()}
+    assert abs(found[100_000]["base_score"] - found[100_001]["base_score"]) < 1e-6  # the same words
+    assert found[100_000]["score"] > found[100_001]["score"] + 0.15 * 200
+
+
+@pytest.mark.parametrize("head", [1 << 16, 2])
+def test_bins_against_a_plain_version_and_sum_to_one(spark, monkeypatch, head):
+    monkeypatch.setattr(L, "WORDS_A_BIN", 1)
+    monkeypatch.setattr(L, "HEAD", head)
+    kept = []
+    real = L.trained
+    monkeypatch.setattr(L, "trained", lambda text, model: kept.append(real(text, model)) or kept[-1])
+    train = [(i, t, False) for i, t, _ in pairs(0, random.Random(5), 4)]
+    held = [(9000, "cue000x thi000ng thi111ng unseen thi999ng cue001x", True), (9001, None, True)]
+    docs = spark.createDataFrame([*train, *held], "doc_id long, text string, held_out boolean")
+    found = {r["doc_id"]: r["score"] for r in L.score(docs, docs.where("not held_out"), Workspace(spark, "test")).collect()}
+    (model,) = kept
+    levels = len(model.bins)
+    assert levels == 2 and np.abs(model.by_digit).max() > 0
+    counts = collections.Counter(w for _, t, _ in train for w in words(t))
+    names = [w for w in counts if w]
+    one = L.tokens(pa.array([" ".join(names)]))
+    cls, leaf = model.outcomes(one, one.places)
+    inside = {w: c for w, c, f in zip(names, cls, leaf, strict=False) if f == L.LEAVES - 1}
+    shared = np.ones(L.CLASSES)
+    shared[L.CLASSES - 1] += counts[None] + 1
+    nodes = collections.Counter()  # tokens and words of all nodes, by class and digits
+    digits = {w: f"{L.textkit.hash_word(w):016x}"[:levels] for w in inside}
+    for w, c in inside.items():
+        shared[c] += counts[w] + 1
+        for k in range(levels + 1):
+            nodes[c, digits[w][:k]] += counts[w] + 1
+
+    def gain(t, p, w):
+        c, total = inside[w], 0.0
+        for level, (_, digit, rows) in enumerate(model.paths(t, np.array([p]), np.array([c]))):
+            assert digit[0] == int(digits[w][level], 16)
+            x = sum(model.by_digit[r[0]].astype(float) for r in rows)
+            over = digits[w][:level]
+            total += x[digit[0]] - math.log(sum(nodes[c, over + f"{d:x}"] / nodes[c, over] * math.exp(x[d]) for d in range(16)))
+        return total / math.log(10)
+
+    for i, t, _ in [*train[:20], *held]:
+        read = L.tokens(pa.array([t]))
+        want = plain_score(model, counts, shared, t) + sum(gain(read, p, w) for p, w in zip(read.places.tolist(), words(t), strict=True) if w in inside)
+        assert abs(found[i] - want) < 1e-5 * abs(want)
+    # the known words of a class's shared leaf and the unseen share, behind one history
+    c = max(set(inside.values()), key=lambda c: sum(v == c for v in inside.values()))
+    whole = 1 / shared[c]
+    for w in (w for w in inside if inside[w] == c):
+        t = L.tokens(pa.array([f"cue007x {w}"]))
+        whole += (counts[w] + 1) / shared[c] * 10 ** gain(t, t.places[1], w)
+    assert abs(whole - 1) < 1e-5

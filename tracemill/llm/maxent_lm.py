@@ -4,14 +4,16 @@ P(word | history) = P(class | history) * P(leaf | class, history) * P(word | lea
 (its first three bytes and last two), shapes being clustered by what precedes them.  A class has LEAVES leaves: its most
 frequent words have one each, all its other words share the last.  P(class | history) and P(leaf | class, history) are
 softmaxes over hashed features of the history: the word before, the shapes of the two words before together and, for the
-class, two skip features.  Within the shared leaf a word's probability is (count + 1) / (tokens + words + 1) of the leaf,
-one share being left for all words never seen.  Over the known words and that share, the probabilities sum to 1.
+class, two skip features.  Within the shared leaf a word has the share (count + 1) / (tokens + words + 1) of the leaf, one
+share being left for all words never seen.  A large vocabulary's shared leaves are trees of bins by the digits of the words'
+hashes: at every node the history, by the same hashed features, moves the shares of its children, and so those of every word
+below.  Over the known words and that last share, the probabilities sum to 1.
 
 Counts cover all training documents and stay distributed.  Training is synchronous: each round sums, over every token of
 every partition, what the weights expect of each feature, and moves the weights once by the difference to what was
 observed, scaled by row; so weights don't depend on how rows are dealt to partitions.  Scoring works through sparse numpy
-batches.  What workers are sent is bounded: the weights, a class per shape, and the counts of the HEAD most frequent words.
-The counts of all other words meet the documents in a join.
+batches.  What workers are sent is bounded: the weights, a class per shape, the shares of the bins, and the counts of the
+HEAD most frequent words and of those with leaves.  The counts of all other words meet the documents in a join.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
+from pyspark.sql.window import Window
 
 from tracemill.llm import textkit
 from tracemill.llm.storage import Workspace
@@ -37,6 +40,12 @@ LEAVES = 16
 #: Kinds of hashed features of the class and of the leaf.
 CLASS_KINDS = 4
 LEAF_KINDS = 2
+#: Children of a node of a shared leaf's tree, and bits of a word's hash that tell them.
+DIGITS = 16
+DIGIT_BITS = 4
+#: Most levels of the tree, between none and which they follow the vocabulary (a bin to WORDS_A_BIN words).
+MOST_LEVELS = 4
+WORDS_A_BIN = 16
 #: Bounds of the hashed features a kind, between which they follow the vocabulary (a row to WORDS_A_ROW words).
 LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 14
 WORDS_A_ROW = 32
@@ -88,6 +97,18 @@ def rows_for(vocabulary: int) -> int:
     return rows
 
 
+def levels_for(vocabulary: int) -> int:
+    levels = 0
+    while levels < MOST_LEVELS and CLASSES * DIGITS**levels * WORDS_A_BIN < vocabulary:
+        levels += 1
+    return levels
+
+
+def _codes(words: np.ndarray, levels: int) -> np.ndarray:
+    """The words' first digits, as one number."""
+    return (words >> np.uint64(64 - DIGIT_BITS * levels)).astype(np.int64) if levels else np.zeros(len(words), np.int64)
+
+
 def _keys(t: Tokens, p: np.ndarray) -> tuple[np.ndarray, ...]:
     one, two, three = t.words[p - 1], t.words[p - 2], t.words[p - 3]
     near, far = t.shapes[p - 1].astype(np.uint64), t.shapes[p - 2].astype(np.uint64)
@@ -118,6 +139,8 @@ class Model:
     by_leaf: np.ndarray  # weights of the leaf; the last CLASSES rows are those of every history, by class
     frequent_class: np.ndarray
     frequent_count: np.ndarray
+    bins: list[np.ndarray]  # by level of the tree: the shares of each node's children in it
+    by_digit: np.ndarray  # weights of the children
 
     def shared(self, tokens_in: np.ndarray, words_in: np.ndarray) -> np.ndarray:
         """By class: tokens and words of the shared leaf, and the share of the unseen."""
@@ -138,9 +161,42 @@ class Model:
         second = [(textkit.mix64(textkit.mix64(k + np.uint64(i)) + within) & mask).astype(np.int64) + i * self.rows for i, k in enumerate(keys[:LEAF_KINDS])]
         return [*first, np.full(len(p), CLASS_KINDS * self.rows)], [*second, LEAF_KINDS * self.rows + cls]
 
-    def logs(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural log of P(class) * P(leaf) of each token, its class, and whether its leaf is its own."""
-        out, classes, own = (np.empty(len(t.places), k) for k in (np.float64, np.int64, bool))
+    def paths(self, t: Tokens, p: np.ndarray, cls: np.ndarray):
+        """By level of the tree: the node of the word at each place, its digit there, and the rows of by_digit that the
+        history has at the node."""
+        levels, mask = len(self.bins), np.uint64(self.rows - 1)
+        codes = _codes(t.words[p], levels)
+        keys = [textkit.mix64(k + np.uint64(i)) for i, k in enumerate(_keys(t, p)[:LEAF_KINDS])]
+        for level in range(levels):
+            to = codes >> (DIGIT_BITS * (levels - level - 1))
+            node = (cls << (DIGIT_BITS * level)) + (to >> DIGIT_BITS)
+            within = node.astype(np.uint64) + (np.uint64(level + 1) << np.uint64(40))
+            yield node, to % DIGITS, [(textkit.mix64(k + within) & mask).astype(np.int64) + i * self.rows for i, k in enumerate(keys)]
+
+    def moved(self, level: int, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithms that the history adds to the shares of a node's children, and the shares times their powers."""
+        x = self.by_digit.take(rows[0], axis=0)
+        for r in rows[1:]:
+            x += self.by_digit.take(r, axis=0)
+        return x, np.exp(x) * self.bins[level].take(node, axis=0)
+
+    def gains(self, t: Tokens, p: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Natural log of what the histories multiply the shares by that the words at the places, if known, have of the
+        shared leaf."""
+        out, n = np.zeros(len(p)), np.arange(len(p))
+        for level, (node, digit, rows) in enumerate(self.paths(t, p, cls)):
+            x, powers = self.moved(level, node, rows)
+            out += x[n, digit] - np.log(np.maximum(powers.sum(axis=1, dtype=np.float64), 1e-30))
+        return out
+
+    def branching(self, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Numbers of the places whose words are in a tree: not those with leaves of their own, nor ends, which are alone."""
+        return np.flatnonzero((leaf == self.by_leaf.shape[1] - 1) & (cls < CLASSES - 1)) if self.bins else np.zeros(0, np.int64)
+
+    def logs(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log of P(class) * P(leaf) of each token, its class, whether its leaf is its own, and its gain in the
+        shared leaf if it is a known word."""
+        out, classes, own, gain = (np.zeros(len(t.places), k) for k in (np.float64, np.int64, bool, np.float64))
         for k in range(0, len(t.places), _STEP):
             p = t.places[k : k + _STEP]
             cls, leaf = self.outcomes(t, p)
@@ -148,25 +204,37 @@ class Model:
             n = np.arange(len(p))
             out[k : k + len(p)] = np.log(np.maximum(softmax(self.by_class, first)[cls, n], 1e-30)) + np.log(np.maximum(softmax(self.by_leaf, second)[leaf, n], 1e-30))
             classes[k : k + len(p)], own[k : k + len(p)] = cls, leaf < self.by_leaf.shape[1] - 1
-        return out, classes, own
-
-    def zeros(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.zeros(self.by_class.shape), np.zeros(self.by_leaf.shape)
+            at = self.branching(cls, leaf)
+            gain[k + at] = self.gains(t, p[at], cls[at])
+        return out, classes, own, gain
 
-    def add_observed(self, t: Tokens, sums: tuple[np.ndarray, np.ndarray]) -> None:
+    def add_observed(self, t: Tokens, sums: tuple[np.ndarray, ...]) -> None:
         """Add each row's outcomes to the sums (row by outcome)."""
         cls, leaf = self.outcomes(t, t.places)
-        for rows, outcome, total in zip(self.features(t, t.places, cls), (cls, leaf), sums, strict=True):
+        at = self.branching(cls, leaf)
+        for _, digit, rows in self.paths(t, t.places[at], cls[at]):
+            for i, r in enumerate(rows):
+                part = sums[2][i * self.rows : (i + 1) * self.rows]
+                part += np.bincount((r - i * self.rows) * DIGITS + digit, minlength=part.size).reshape(part.shape)
+        for rows, outcome, total in zip(self.features(t, t.places, cls), (cls, leaf), sums[:2], strict=True):
             for i, r in enumerate(rows):
                 part = total[i * self.rows : (i + 1) * self.rows]  # every history's rows are the last few
                 size = total.shape[1]
                 part += np.bincount((r - i * self.rows) * size + outcome, minlength=part.size).reshape(part.shape)
 
-    def add_expected(self, t: Tokens, sums: tuple[np.ndarray, np.ndarray]) -> None:
+    def add_expected(self, t: Tokens, sums: tuple[np.ndarray, ...]) -> None:
         """Add what the weights expect of each row's outcomes to the sums (outcome by row)."""
         for k in range(0, len(t.places), _STEP):
             p = t.places[k : k + _STEP]
-            cls, _ = self.outcomes(t, p)
+            cls, leaf = self.outcomes(t, p)
+            at = self.branching(cls, leaf)
+            for level, (node, _, rows) in enumerate(self.paths(t, p[at], cls[at])):
+                powers = self.moved(level, node, rows)[1].astype(np.float64)
+                shares = np.ascontiguousarray((powers / powers.sum(axis=1, keepdims=True)).T)
+                for i, r in enumerate(rows):
+                    r = r - i * self.rows
+                    for outcome, share in enumerate(shares):
+                        sums[2][outcome, i * self.rows : (i + 1) * self.rows] += np.bincount(r, weights=share, minlength=self.rows)
             first, second = self.features(t, p, cls)
             for rows, weights, total, base in ((first, self.by_class, sums[0], None), (second, self.by_leaf, sums[1], cls)):
                 shares = softmax(weights, rows).astype(np.float64)
@@ -179,8 +247,9 @@ class Model:
                 else:
                     total[:, -CLASSES:] += shares @ (base[:, None] == np.arange(CLASSES))
 
-    def start(self, observed: tuple[np.ndarray, np.ndarray]) -> None:
-        """First weights: outcomes' overall log shares (by class for the leaf), and a part of each row's log ratio to them."""
+    def start(self, observed: tuple[np.ndarray, ...]) -> None:
+        """First weights: outcomes' overall log shares (by class for the leaf), and a part of each row's log ratio to them;
+        none in the trees, whose nodes have their shares."""
         for name, seen, bases in (("by_class", observed[0], 1), ("by_leaf", observed[1], CLASSES)):
             base = seen[-bases:] + 0.5
             base = base / base.sum(axis=1, keepdims=True)
@@ -190,9 +259,9 @@ class Model:
             ratio = np.log((rows + PRIOR * overall) / (rows.sum(axis=1, keepdims=True) + PRIOR) / overall)
             setattr(self, name, np.concatenate([START * ratio, np.log(base)]).astype(np.float32))
 
-    def move(self, observed: tuple[np.ndarray, np.ndarray], expected: tuple[np.ndarray, np.ndarray]) -> None:
+    def move(self, observed: tuple[np.ndarray, ...], expected: tuple[np.ndarray, ...]) -> None:
         """One gradient step: observed less expected, scaled by what bounds the curvature."""
-        for weights, seen, wanted in zip((self.by_class, self.by_leaf), observed, expected, strict=True):
+        for weights, seen, wanted in zip((self.by_class, self.by_leaf, self.by_digit), observed, expected, strict=True):
             weights += (RATE * np.clip((seen - wanted) / (wanted + PRIOR), -1, 2)).astype(np.float32)
 
 
@@ -211,8 +280,9 @@ def cluster_shapes(table: np.ndarray) -> np.ndarray:
     return np.append(near, k)
 
 
-def assembled(class_of: np.ndarray, words: np.ndarray, shapes: np.ndarray, counts: np.ndarray, rows: int) -> Model:
-    """A model without weights; words: the most frequent ones, by descending count."""
+def assembled(class_of: np.ndarray, words: np.ndarray, shapes: np.ndarray, counts: np.ndarray, rows: int, binned: np.ndarray, levels: int) -> Model:
+    """A model without weights; words: each class's most frequent ones, by descending count; binned: (CLASSES, bins) tokens
+    and words of every bin."""
     cls = class_of[shapes]
     order = np.argsort(cls, kind="stable")
     first = np.searchsorted(cls[order], np.arange(CLASSES))
@@ -228,8 +298,16 @@ def assembled(class_of: np.ndarray, words: np.ndarray, shapes: np.ndarray, count
         shift, size = (shift + 1, size) if shift < 40 else (0, 2 * size)
     slots = np.full(size, -1, np.int64)
     slots[at] = np.arange(len(at))
+    binned = binned.copy()
+    np.subtract.at(binned, (cls[chosen], _codes(frequent, levels)), counts[chosen] + 1)
+    bins: list = []
+    for _ in range(levels):
+        binned = binned.reshape(-1, DIGITS)
+        bins.insert(0, (binned / np.maximum(binned.sum(axis=1, keepdims=True), 1)).astype(np.float32))
+        binned = binned.sum(axis=1)
+    by_digit = np.zeros((LEAF_KINDS * rows if levels else 0, DIGITS), np.float32)
     # one more, which the last slot number -1 finds
-    return Model(class_of, slots, shift, np.append(frequent, np.uint64(0)), np.append(leaf, LEAVES - 1), rows, np.zeros((CLASS_KINDS * rows + 1, CLASSES), np.float32), np.zeros((LEAF_KINDS * rows + CLASSES, LEAVES), np.float32), cls[chosen], counts[chosen])
+    return Model(class_of, slots, shift, np.append(frequent, np.uint64(0)), np.append(leaf, LEAVES - 1), rows, np.zeros((CLASS_KINDS * rows + 1, CLASSES), np.float32), np.zeros((LEAF_KINDS * rows + CLASSES, LEAVES), np.float32), cls[chosen], counts[chosen], bins, by_digit)
 
 
 def _texts(batches):
@@ -278,13 +356,46 @@ def _counted(train: DataFrame) -> DataFrame:
     return train.mapInArrow(textkit.releasing(run), "word long, shape int, n long")
 
 
-def _summed(train: DataFrame, model: Model, observed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Observed or expected outcomes of every row over all of train, (row, outcome) for class and leaf.
+def _leading(counts: DataFrame, class_of: np.ndarray) -> pa.Table:
+    """(word, shape, n) of the LEAVES - 1 most frequent words of each class, by descending count."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(class_of[batch.column(1).to_numpy()].astype(np.int32))], names=["word", "shape", "n", "cls"])
+
+    first = Window.partitionBy("cls").orderBy(F.desc("n"), "word")
+    named = counts.select("word", "shape", "n").mapInArrow(run, "word long, shape int, n long, cls int")
+    return named.withColumn("rank", F.row_number().over(first)).where(F.col("rank") < LEAVES).orderBy(F.desc("n"), "word").select("word", "shape", "n").toArrow()
+
+
+def _binned(counts: DataFrame, class_of: np.ndarray, levels: int) -> np.ndarray:
+    """(CLASSES, bins) tokens and words of all counted words by the first digits of their hashes."""
+    size = DIGITS**levels
+
+    def run(batches):
+        sums = np.zeros(CLASSES * size)
+        for batch in batches:
+            word, shape, n = (c.to_numpy() for c in batch.columns)
+            at, where = np.unique(class_of[shape] * size + _codes(word.astype(np.uint64), levels), return_inverse=True)
+            sums[at] += np.bincount(where, weights=n + 1)
+        at = np.flatnonzero(sums)
+        for k in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(sums[at[k : k + 50_000]].astype(np.int64))], names=["bin", "n"])
+
+    out = np.zeros(CLASSES * size, np.int64)
+    summed = counts.select("word", "shape", "n").mapInArrow(textkit.releasing(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    for r in summed.toArrow().to_batches():  # at most a row a bin: bounded
+        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    return out.reshape(CLASSES, size)
+
+
+def _summed(train: DataFrame, model: Model, observed: bool) -> tuple[np.ndarray, ...]:
+    """Observed or expected outcomes of every row over all of train, (row, outcome) for class, leaf and digits.
 
     Each partition sends the rows it touched, in blocks; they are added up in two steps, so no task or driver gathers more
     than some partitions' copies of a block."""
     block_rows, kind = 1024, "<i8" if observed else "<f4"
-    shapes = (model.by_class.shape, model.by_leaf.shape)
+    shapes = (model.by_class.shape, model.by_leaf.shape, model.by_digit.shape)
 
     def gather(batches):
         sums = tuple(np.zeros(s if observed else s[::-1]) for s in shapes)
@@ -357,7 +468,13 @@ def score(docs: DataFrame, train: DataFrame, space: Workspace, id_col: str = "do
         total, vocabulary = total + r["n"], vocabulary + r["v"]
     head = counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n", "shape").toArrow()
     word, n = head.column("word").to_numpy().astype(np.int64).astype(np.uint64), head.column("n").to_numpy()
-    model = assembled(class_of, word, head.column("shape").to_numpy(), n, rows_for(vocabulary))
+    leading, levels = _leading(counts, class_of), levels_for(vocabulary)
+    first_words, first_counts = leading.column("word").to_numpy().astype(np.uint64), leading.column("n").to_numpy()
+    binned = _binned(counts, class_of, levels) if levels else np.zeros((CLASSES, 1), np.int64)
+    model = assembled(class_of, first_words, leading.column("shape").to_numpy(), first_counts, rows_for(vocabulary), binned, levels)
+    # words with leaves of their own are held whatever their rank among all words
+    more = np.isin(first_words, word, invert=True)
+    word, n = np.append(word, first_words[more]), np.append(n, first_counts[more])
     if total:
         model = trained(text, model)
     order = np.argsort(word)
@@ -370,40 +487,42 @@ def score(docs: DataFrame, train: DataFrame, space: Workspace, id_col: str = "do
         for batch in _texts(batches):
             t = tokens(batch.column(batch.num_columns - 1))
             size = np.diff(t.at)
-            logs, cls, single = model.logs(t)
+            logs, cls, single, gain = model.logs(t)
             own = t.words[t.places]
             at = np.searchsorted(head_words[:-1], own)
             there = head_words[at] == own
             there &= at < len(head_words) - 1
             known = np.add.reduceat(there.astype(np.int64), t.at[:-1])
             # a word with a leaf of its own needs no count, but `logged` holds it
-            by_class = np.add.reduceat(logs / np.log(10) - np.where(single, head_logs[at], inner[cls]), t.at[:-1])
+            by_class = np.add.reduceat((logs + np.where(there, gain, 0.0)) / np.log(10) - np.where(single, head_logs[at], inner[cls]), t.at[:-1])
             logged = np.add.reduceat(np.where(there, head_logs[at], 0.0), t.at[:-1])
-            doc, rest = np.repeat(np.arange(len(size)), size)[~there], own[~there]
+            doc, rest, gain = np.repeat(np.arange(len(size)), size)[~there], own[~there], gain[~there] / np.log(10)
             order = np.lexsort((rest, doc))
-            doc, rest = doc[order], rest[order]
+            doc, rest, gain = doc[order], rest[order], gain[order]
             first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1]))) if len(doc) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(doc)))
+            gain = np.add.reduceat(gain, first) if len(first) else gain
             # each document's own entry leads its list, with no occurrence
             cut = np.searchsorted(doc[first], np.arange(len(size) + 1))
             ids = np.arange(len(size)) + row
             row += len(size)
             words = np.insert(rest[first].astype(np.int64), cut[:-1], textkit.mix64(ids.astype(np.uint64)).astype(np.int64))
             times = np.insert(times, cut[:-1], 0).astype(np.int32)
+            gain = np.insert(gain, cut[:-1], 0.0)
             offsets = pa.array((cut + np.arange(len(cut))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(ids), pa.array(size), pa.array(known), pa.array(logged), pa.array(by_class),
-                 pa.ListArray.from_arrays(offsets, pa.array(words)), pa.ListArray.from_arrays(offsets, pa.array(times))], names=names)
+                 *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words, times, gain)]], names=names)
 
     taken = docs.select(id_col, *keep, text_col)
     schema = taken.drop(text_col).schema
-    for name, kind in (("_row", "long"), ("_size", "long"), ("_known", "long"), ("_logged", "double"), ("_by_class", "double"), ("_words", ArrayType(LongType())), ("_times", ArrayType(IntegerType()))):
+    for name, kind in (("_row", "long"), ("_size", "long"), ("_known", "long"), ("_logged", "double"), ("_by_class", "double"), ("_words", ArrayType(LongType())), ("_times", ArrayType(IntegerType())), ("_gains", ArrayType(DoubleType()))):
         schema = schema.add(name, kind)
     names = schema.names
     batched = taken.mapInArrow(textkit.releasing(run), schema)
     lead = [id_col, *keep, "_size", "_known", "_logged", "_by_class"]
-    each = batched.select("_row", *lead, F.explode(F.arrays_zip("_words", "_times")).alias("e")).select(
-        "_row", F.col("e._words").alias("_word"), F.col("e._times").alias("_n"), *[F.when(F.col("e._times") == 0, F.col(c)).alias(c) for c in lead]
+    each = batched.select("_row", *lead, F.explode(F.arrays_zip("_words", "_times", "_gains")).alias("e")).select(
+        "_row", F.col("e._words").alias("_word"), F.col("e._times").alias("_n"), F.col("e._gains").alias("_gain"), *[F.when(F.col("e._times") == 0, F.col(c)).alias(c) for c in lead]
     )
     tail = counts.select("word", F.col("n").alias("_count"))
     rare = each.join(tail, (each["_word"] == tail["word"]) & (each["_n"] > 0), "left")
@@ -411,9 +530,10 @@ def score(docs: DataFrame, train: DataFrame, space: Workspace, id_col: str = "do
     summed = rare.groupBy("_row").agg(
         *[F.max(c).alias(c) for c in lead],
         F.sum(F.when(seen, F.col("_n")).otherwise(0)).alias("_more"), F.sum(F.when(seen, F.col("_n") * F.log10(F.col("_count") + 1.0)).otherwise(0.0)).alias("_logs"),
+        F.sum(F.when(seen, F.col("_gain")).otherwise(0.0)).alias("_gained"),
     )
     logs = F.col("_logged") + F.col("_logs")
     return summed.select(
         id_col, *keep, F.col("_size").alias("n_tokens"), (F.col("_known") + F.col("_more")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (logs - F.col("_size") * float(np.log10(total + vocabulary + 1))).alias("base_score"), (logs + F.col("_by_class")).alias("score"),
+        (logs - F.col("_size") * float(np.log10(total + vocabulary + 1))).alias("base_score"), (logs + F.col("_by_class") + F.col("_gained")).alias("score"),
     )
