@@ -60,8 +60,11 @@ PRIOR = 20.0
 
 _END = np.uint64(textkit.hash_word("\x00end"))
 _BOS = np.uint64(textkit.hash_word("\x00begin"))
+_ONES = np.ones(DIGITS, np.float32)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _HALF = 200  # texts in one numpy batch
 _STEP = 1 << 16  # tokens whose outcomes are held at a time
+_TREE_STEP = 1 << 14  # of those in trees
 
 
 @dataclass
@@ -164,21 +167,23 @@ class Model:
     def paths(self, t: Tokens, p: np.ndarray, cls: np.ndarray):
         """By level of the tree: the node of the word at each place, its digit there, and the rows of by_digit that the
         history has at the node."""
-        levels, mask = len(self.bins), np.uint64(self.rows - 1)
+        levels, shift = len(self.bins), np.uint64(65 - self.rows.bit_length())
         codes = _codes(t.words[p], levels)
         keys = [textkit.mix64(k + np.uint64(i)) for i, k in enumerate(_keys(t, p)[:LEAF_KINDS])]
         for level in range(levels):
             to = codes >> (DIGIT_BITS * (levels - level - 1))
             node = (cls << (DIGIT_BITS * level)) + (to >> DIGIT_BITS)
-            within = node.astype(np.uint64) + (np.uint64(level + 1) << np.uint64(40))
-            yield node, to % DIGITS, [(textkit.mix64(k + within) & mask).astype(np.int64) + i * self.rows for i, k in enumerate(keys)]
+            within = (node.astype(np.uint64) + (np.uint64(level + 1) << np.uint64(40))) * _SPREAD  # keys are mixed: a step of odd size will do
+            yield node, to & (DIGITS - 1), [((k + within) >> shift).astype(np.int64) + i * self.rows for i, k in enumerate(keys)]
 
     def moved(self, level: int, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The logarithms that the history adds to the shares of a node's children, and the shares times their powers."""
         x = self.by_digit.take(rows[0], axis=0)
         for r in rows[1:]:
             x += self.by_digit.take(r, axis=0)
-        return x, np.exp(x) * self.bins[level].take(node, axis=0)
+        powers = np.exp(x)
+        powers *= self.bins[level].take(node, axis=0)
+        return x, powers
 
     def gains(self, t: Tokens, p: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Natural log of what the histories multiply the shares by that the words at the places, if known, have of the
@@ -186,7 +191,7 @@ class Model:
         out, n = np.zeros(len(p)), np.arange(len(p))
         for level, (node, digit, rows) in enumerate(self.paths(t, p, cls)):
             x, powers = self.moved(level, node, rows)
-            out += x[n, digit] - np.log(np.maximum(powers.sum(axis=1, dtype=np.float64), 1e-30))
+            out += x[n, digit] - np.log(np.maximum(powers @ _ONES, 1e-30))
         return out
 
     def branching(self, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -205,7 +210,8 @@ class Model:
             out[k : k + len(p)] = np.log(np.maximum(softmax(self.by_class, first)[cls, n], 1e-30)) + np.log(np.maximum(softmax(self.by_leaf, second)[leaf, n], 1e-30))
             classes[k : k + len(p)], own[k : k + len(p)] = cls, leaf < self.by_leaf.shape[1] - 1
             at = self.branching(cls, leaf)
-            gain[k + at] = self.gains(t, p[at], cls[at])
+            for at in np.split(at, range(_TREE_STEP, len(at), _TREE_STEP)) if len(at) else ():
+                gain[k + at] = self.gains(t, p[at], cls[at])
         return out, classes, own, gain
 
     def add_observed(self, t: Tokens, sums: tuple[np.ndarray, ...]) -> None:
@@ -228,11 +234,13 @@ class Model:
             p = t.places[k : k + _STEP]
             cls, leaf = self.outcomes(t, p)
             at = self.branching(cls, leaf)
-            for level, (node, _, rows) in enumerate(self.paths(t, p[at], cls[at])):
-                powers = self.moved(level, node, rows)[1].astype(np.float64)
-                shares = np.ascontiguousarray((powers / powers.sum(axis=1, keepdims=True)).T)
-                for i, r in enumerate(rows):
-                    r = r - i * self.rows
+            for at in np.split(at, range(_TREE_STEP, len(at), _TREE_STEP)) if len(at) else ():
+                shares, spans = np.empty((DIGITS, len(at) * len(self.bins))), []
+                for level, (node, _, rows) in enumerate(self.paths(t, p[at], cls[at])):
+                    powers = self.moved(level, node, rows)[1]
+                    np.divide(powers.T, powers @ _ONES, out=shares[:, level * len(at) : (level + 1) * len(at)])
+                    spans.append(rows)
+                for i, r in enumerate(np.concatenate(x) - i * self.rows for i, x in enumerate(zip(*spans, strict=True))):
                     for outcome, share in enumerate(shares):
                         sums[2][outcome, i * self.rows : (i + 1) * self.rows] += np.bincount(r, weights=share, minlength=self.rows)
             first, second = self.features(t, p, cls)
